@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is worked out once a row, even if a lambda in body reads it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty; whatever else the table has is left behind, so
     no column name of the input can clash with one of an operator."""
@@ -80,6 +85,15 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == F.col("_gone_id"), "left_anti")
 
 
+def with_found(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """doc_id of every row of docs with found's columns (found: doc_id, unique and not null, and
+    more), null where found has no such id. The broadcast has the bound of `without_ids`."""
+    found = materialize(found.withColumnRenamed("doc_id", "_found_id"), "found")
+    small = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    return ids.join(F.broadcast(found) if small else found, F.col("doc_id") == F.col("_found_id"), "left").drop("_found_id")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b: longs); root is the smallest node reachable.
 

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, toxicity
 from .bpe import encode_documents
+from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .licenses import license_scan
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_counts import context_limits, length_histogram
+from .token_files import read_token_files, write_token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,6 +37,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,12 +60,39 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return read_token_files(manifest)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (host: their source) and pages in one table; doc_id is null for pages, page_id for documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    texts = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("declared"), F.col("source").alias("host"))
+    web = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", language.html_text(F.col("html")).alias("text"), language.declared_language(F.col("html")).alias("declared"), language.host_of(F.col("url")).alias("host"))
+    return language.identify(texts.union(web), language.train(docs), ["doc_id", "page_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_bpe": op6_bpe,
+    "op7_token_files": op7_token_files,
+    "op8_decontamination": op8_decontamination,
+    "op9_licenses": op9_licenses,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
