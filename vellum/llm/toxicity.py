@@ -29,6 +29,8 @@ from ._common import materialize
 TRAIN_DOCS = 16_384
 #: Stems in the lexicon, and stem candidates that are examined in context.
 LEXICON, CANDIDATES = 5_000, 20_000
+#: Log likelihood ratio that a stem must reach: that of the best of a million, and one more.
+SURPRISE = math.log(1e6) + 1
 #: Folds of crc32(doc_id as text); fold HELD_OUT is never learned from.
 FOLDS, HELD_OUT = 5, 0
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -145,6 +147,12 @@ class Scorer:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
+def surprise(toxic: int, other: int, base: float) -> float:
+    """Log likelihood ratio of a stem's counts against the share `base` of toxic documents."""
+    n = toxic + other
+    return sum(k * math.log(k / (n * p)) for k, p in ((toxic, base), (other, 1 - base)) if k) if 0 < base < 1 else 0.0
+
+
 def held_out(doc_id: str | object):
     """The fold test as a column."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
@@ -199,9 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
     """Fits the lexicon and the logistic function on at most `train_docs` labelled documents that are
     not held out. Null labels and ids are left out; of contradicting labels the larger holds.
 
-    A stem enters if it begins words of at least 8 toxic documents, is at least 20 times as frequent
-    among toxic documents as among others, and is seen in at least 5 different contexts there, or in
-    half as many as documents: words that copies of one text share are seen in one context only.
+    A stem enters if it is at least 20 times as frequent among toxic documents as among others and if
+    its count there would surprise even as the best of a million stems. It counts at most once for
+    each context it is seen in: words that copies of one text share are seen in one context only.
     Without labels the lexicon is empty and scores say nothing but the prior.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
@@ -215,11 +223,12 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
         return Model()
     counts = sample.mapInArrow(_stem_counts, "stem string, toxic long, other long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("other") + 0.5) / (n0 + 1))
-    likely = counts.withColumn("odds", odds).where(f"toxic >= least({8}, {max(2, n1 // 20)}) and odds >= ln(20)")
+    likely = counts.withColumn("odds", odds).where("toxic >= 3 and odds >= ln(20)")
     top = likely.orderBy(F.desc(F.col("toxic") * F.col("odds")), "stem").limit(CANDIDATES).collect()
     seen = sample.mapInArrow(_contexts(frozenset(r["stem"] for r in top)), "stem string, toxic boolean, around string").where("toxic").distinct().groupBy("stem").count()
     contexts = {r["stem"]: r["count"] for r in seen.where(F.col("count") > 1).collect()}  # at most CANDIDATES rows
-    stems = {r["stem"]: min(6.0, r["odds"]) for r in top if contexts.get(r["stem"], 0) >= max(min(5, r["toxic"]), r["toxic"] / 2)}
+    base = n1 / (n1 + n0)
+    stems = {r["stem"]: min(6.0, r["odds"]) for r in top if surprise(min(r["toxic"], contexts.get(r["stem"], 0)), r["other"], base) >= SURPRISE}
     stems = dict(sorted(stems.items(), key=lambda x: -x[1])[:LEXICON])
     model = Model(stems)
     rows = sample.mapInArrow(_raw_scores(model), "raw double, toxic int").collect()  # at most train_docs pairs of numbers
