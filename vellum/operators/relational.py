@@ -100,7 +100,7 @@ def heading_ids(headings: DataFrame, doc: str, pos: str, slug: str) -> DataFrame
     packed = headings.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(slug).alias("s")))).alias("hs"))
 
     def step(used: Column, h: Column) -> Column:
-        taken = F.transform(used, lambda u: u["id"])
+        taken = F.transform(used, lambda u: F.coalesce(u["id"], F.lit("")))
         numbers = F.sequence(F.lit(0), F.size(used))
         names = F.transform(numbers, lambda n: F.when(n == 0, h["s"]).otherwise(F.concat(h["s"], F.lit("-"), n.cast("string"))))
         free = F.get(F.filter(names, lambda n: ~F.array_contains(taken, n)), F.lit(0))

@@ -85,7 +85,7 @@ def inline(tree: Tree, parent: int, depth: int, text: str, line: int) -> None:
             plain.append(text[at + 1])
             at += 2
             continue
-        if two in MARKERS and (end := text.find(two, at + 2)) > at + 2 and not text[at + 2].isspace() and not text[end - 1].isspace() and not (two == "//" and text[at - 1 : at] == ":"):
+        if two in MARKERS and (end := text.find(two, at + 2)) > at + 2 and (two == "``" or not text[at + 2].isspace() and not text[end - 1].isspace()) and not (two == "//" and text[at - 1 : at] == ":"):
             flush()
             node = tree.add(parent, depth, "element", MARKERS[two], line=line)
             inner = text[at + 2 : end]
@@ -191,7 +191,7 @@ def table(tree: Tree, parent: int, depth: int, lines: list[tuple[int, str]], at:
     while end < len(lines) and lines[end][1].lstrip().startswith("|"):
         end += 1
     rows = [(n, cells(x)) for n, x in lines[at:end]]
-    rule = next((i for i, (_, r) in enumerate(rows) if all(re.fullmatch(r":?-{2,}:?", c) for c in r)), None)
+    rule = next((i for i, (_, r) in enumerate(rows) if all(re.fullmatch(r":?-+:?", c) for c in r)), None)
     align = [] if rule is None else [{(1, 1): "center", (0, 1): "right", (1, 0): "left"}.get((c[0] == ":", c[-1] == ":")) for c in rows[rule][1]]
     node = tree.add(parent, depth, "element", "table", line=lines[at][0])
     groups = [("tbody", "td", rows)] if rule is None else [("thead", "th", rows[:rule]), ("tbody", "td", rows[rule + 1 :])]
@@ -285,18 +285,19 @@ def sanitize(table: DataFrame) -> DataFrame:
 
     gone = spans(table).where(F.lower("tag").isin(STRIP)).select(F.col("doc_index").alias("d"), F.col("node_id").alias("a"), F.col("stop").alias("z"))
     kept = table.join(gone, (F.col("doc_index") == F.col("d")) & (F.col("node_id") >= F.col("a")) & (F.col("node_id") < F.col("z")), "left_anti")
-    known = kept.where(F.col("tag").isNull() | F.lower("tag").isin(TAGS))
+    unknown = F.col("tag").isNotNull() & ~F.lower("tag").isin(TAGS)
+    known = kept.withColumns({"type": F.when(unknown, "fragment").otherwise(F.col("type")), "tag": F.when(~unknown, F.col("tag"))})
     ok = lambda k, v: (F.lower(k).isin(ATTRIBUTES) | F.lower(k).rlike(r"^(aria-[a-z-]+|data-[\w-]+)$")) & F.when(k == "href", allowed_protocol(v, SCHEMES["href"])).when(k.isin("src", "cite"), allowed_protocol(v, SCHEMES["src"])).otherwise(True)
     return known.withColumn("props", F.map_filter("props", ok))
 
 
 def write_html(rows: list[dict]) -> str:
-    """HTML of one document's nodes in preorder; nodes whose parent is gone stand where they were."""
+    """HTML of one document's nodes in preorder; a fragment is its children."""
     out: list[str] = []
     open_tags: list[tuple[int, str]] = []
     for r in rows:
         while open_tags and open_tags[-1][0] >= r["depth"]:
-            out.append(f"</{open_tags.pop()[1]}>")
+            out.append(open_tags.pop()[1])
         if r["type"] == "text":
             out.append(html.escape(r["value"] or "", quote=False))
         elif r["type"] == "comment":
@@ -307,9 +308,10 @@ def write_html(rows: list[dict]) -> str:
             attrs = "".join(f' {k}="{html.escape(v)}"' if v else f" {k}" for k, v in (r["props"] or []))
             out.append(f"<{r['tag']}{attrs}>")
             if r["tag"] not in VOID:
-                open_tags.append((r["depth"], r["tag"]))
-    while open_tags:
-        out.append(f"</{open_tags.pop()[1]}>")
+                open_tags.append((r["depth"], f"</{r['tag']}>"))
+        elif r["type"] == "fragment":
+            open_tags.append((r["depth"], ""))
+    out += [end for _, end in reversed(open_tags)]
     return "".join(out)
 
 
