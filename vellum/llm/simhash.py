@@ -182,8 +182,6 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, seed: int
 
 def drop_near_copies(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id is not their component's. Rows that repeat an id share its
-    verdict; rows with a null id stay only where no row of their component has an id."""
-    marked = near_duplicates(docs, radius, words, seed, id_col, text_col)
-    marked = materialize(marked.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id", "component_id"), "near")
-    kept = without_ids(docs, marked.where("doc_id is not null").select("doc_id"), id_col)
-    return kept if marked.where("doc_id is null").isEmpty() else kept.where(F.col(id_col).isNotNull())
+    verdict; rows with a null id are named by none and stay."""
+    marked = near_duplicates(docs, radius, words, seed, id_col, text_col).where("doc_id <> component_id").select("doc_id")
+    return without_ids(docs, materialize(marked, "near"), id_col)
