@@ -11,7 +11,7 @@ from . import language, toxicity
 from .bpe import encode_documents
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
-from .licenses import license_scan
+from .licenses import TEMPLATES, license_scan
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_counts import context_limits, length_histogram
@@ -95,10 +95,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
+def license_sql() -> str:
+    """The licence scan in SQL: every passage's bigrams against every template's."""
+    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in sorted(TEMPLATES.items()))
+    norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    pairs = "CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
+    return f"""
+        WITH t(license, body) AS (VALUES {rows}),
+        tw AS (SELECT license, {pairs} AS b FROM (SELECT license, string_split({norm.format('body')}, ' ') AS w FROM t)),
+        tb AS (SELECT license, len(b) AS size, unnest(b) AS bigram FROM tw),
+        x AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text])) AS passage FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT *, row_number() OVER () AS num FROM (SELECT DISTINCT doc_id, {norm.format('passage')} AS n FROM x) WHERE n <> ''),
+        pw AS (SELECT doc_id, num, {pairs} AS b FROM (SELECT doc_id, num, string_split(n, ' ') AS w FROM p)),
+        pb AS (SELECT doc_id, num, len(b) AS n, unnest(b) AS bigram FROM pw),
+        s AS (SELECT doc_id, license, round(2 * count(*) / (n + size), 6) AS dice FROM pb JOIN tb USING (bigram) GROUP BY doc_id, num, license, n, size),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS k FROM s WHERE dice >= 0.8),
+        g AS (SELECT doc_id, count(DISTINCT license) AS licenses FROM r GROUP BY doc_id)
+        SELECT d.doc_id, r.license, r.dice, CAST(coalesce(g.licenses, 0) AS INT) AS licenses
+        FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND r.k = 1 LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op9_licenses": license_sql(),
 }
