@@ -138,7 +138,7 @@ def test_simhash(docs, none):
     assert rows(near_duplicates(docs)) == sorted(want, key=str)
     assert rows(near_duplicates(none)) == []
     kept = drop_near_copies(docs).collect()
-    assert {r.doc_id for r in kept} == {c for _, _, c in want}
+    assert {r.doc_id for r in kept} == {c for _, _, c in want} and sum(r.doc_id is None for r in kept) == 2
     assert rows(drop_near_copies(none)) == []
 
 
@@ -150,7 +150,7 @@ def test_masks_cover(radius):
         assert any(not d & m for m in all_masks)
 
 
-@pytest.mark.parametrize("bucket", [2, 64])
+@pytest.mark.parametrize("bucket", [40, 256])
 def test_links_tie_what_brute_force_ties(spark, bucket):
     rnd = random.Random(5)
     values = {rnd.getrandbits(64) for _ in range(60)}
