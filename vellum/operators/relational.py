@@ -12,15 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, counted up to there."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key, by one grouped minimum."""
     rest = [c for c in df.columns if c not in keys]

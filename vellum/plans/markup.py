@@ -12,7 +12,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Markers and the elements they stand for; the last is literal.
@@ -231,14 +232,23 @@ def nodes(docs: DataFrame, key: str = "doc_index", text: str = "content") -> Dat
     return docs.select(F.col(key).cast("long").alias("doc_index"), text).mapInArrow(_nodes, f"doc_index long, {NODE_SCHEMA}")
 
 
-def spans(table: DataFrame) -> DataFrame:
-    """table with stop: the node after the last of its subtree."""
-    from pyspark.sql import Window as W
+def _stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            stop, open_nodes = {}, []
+            for r in rows:
+                while open_nodes and open_nodes[-1][1] >= r["depth"]:
+                    stop[open_nodes.pop()[0]] = r["node_id"]
+                open_nodes.append((r["node_id"], r["depth"]))
+            ids = [r["node_id"] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(ids), pa.int64()), pa.array(ids, pa.int32()), pa.array([stop.get(i, 2**31 - 1) for i in ids], pa.int32())], ["_doc", "_node", "stop"])
+
 
-    ordered = W.partitionBy("doc_index").orderBy("node_id").rowsBetween(1, W.unboundedFollowing)
-    later = F.collect_list(F.struct("depth", "node_id")).over(ordered)
-    after = F.get(F.filter(later, lambda x: x["depth"] <= F.col("depth")), F.lit(0))["node_id"]
-    return table.withColumn("stop", F.coalesce(after, F.lit(2**31 - 1)))
+def spans(table: DataFrame) -> DataFrame:
+    """table with stop: the node after the last of its subtree. One pass over each document's depths."""
+    packed = table.groupBy("doc_index").agg(F.array_sort(F.collect_list(F.struct("node_id", "depth"))).alias("nodes"))
+    stops = packed.mapInArrow(_stops, "_doc long, _node int, stop int")
+    return table.join(stops, (F.col("doc_index") == F.col("_doc")) & (F.col("node_id") == F.col("_node"))).drop("_doc", "_node")
 
 
 def text_of(table: DataFrame) -> DataFrame:
@@ -248,18 +258,15 @@ def text_of(table: DataFrame) -> DataFrame:
 
 
 def headings(table: DataFrame) -> DataFrame:
-    """(doc_index, node_id, depth, text, slug) of headings, in order."""
-    top = table.where(F.col("tag").rlike("^h[1-6]$")).select("doc_index", F.col("node_id").alias("h"), F.substring("tag", 2, 1).cast("int").alias("level"), F.col("props")["id"].alias("slug"), F.col("depth").alias("hd"))
-    texts = table.where("type = 'text'").select(F.col("doc_index").alias("d"), "node_id", "value")
-    inside = top.join(texts, (F.col("doc_index") == F.col("d")) & (F.col("node_id") > F.col("h")))
-    nearest = inside.groupBy("d", "node_id").agg(F.max("h").alias("h"), F.first("value").alias("value"))
-    line = table.select(F.col("doc_index").alias("d2"), F.col("node_id").alias("n2"), F.col("line"))
-    kept = nearest.join(line, (F.col("d") == F.col("d2")) & (F.col("node_id") == F.col("n2"))).select("d", "h", "node_id", "value", "line")
-    own = table.select(F.col("doc_index").alias("d3"), F.col("node_id").alias("h3"), F.col("line").alias("hl"))
-    kept = kept.join(own, (F.col("d") == F.col("d3")) & (F.col("h") == F.col("h3")) & (F.col("line") == F.col("hl")))
-    packed = kept.groupBy("d", "h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "value"))), lambda x: x["value"]), "").alias("text"))
-    out = top.join(packed.withColumnRenamed("h", "ph"), (F.col("doc_index") == F.col("d")) & (F.col("h") == F.col("ph")), "left")
-    return out.select("doc_index", F.col("h").alias("node_id"), F.col("level").alias("depth"), F.coalesce("text", F.lit("")).alias("text"), "slug").orderBy("doc_index", "node_id")
+    """(doc_index, node_id, depth, text, slug) of headings, in order. A heading is one line, so its
+    text is what stands on that line after it: one window over each document's nodes."""
+    w = W.partitionBy("doc_index").orderBy("node_id").rowsBetween(W.unboundedPreceding, 0)
+    head = F.when(F.col("tag").rlike("^h[1-6]$"), F.struct("node_id", "line", F.substring("tag", 2, 1).cast("int").alias("depth"), F.col("props")["id"].alias("slug")))
+    seen = table.select("doc_index", "node_id", "type", "value", "line", F.last(head, ignorenulls=True).over(w).alias("h"))
+    own = seen.where((F.col("line") == F.col("h.line")) & (F.col("type").isin("text") | (F.col("node_id") == F.col("h.node_id"))))
+    parts = F.array_sort(F.collect_list(F.when(F.col("type") == "text", F.struct("node_id", "value"))))
+    packed = own.groupBy("doc_index", "h").agg(F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("text"))
+    return packed.select("doc_index", "h.node_id", "h.depth", "text", "h.slug").orderBy("doc_index", "node_id")
 
 
 def links(table: DataFrame) -> DataFrame:
@@ -333,8 +340,3 @@ def toc(found: DataFrame) -> DataFrame:
     lines = F.transform("hs", lambda h: F.concat(F.repeat(F.lit("  "), h["depth"] - low), F.lit("- [["), h["text"], F.lit("|#"), h["slug"], F.lit("]]")))
     packed = found.where("slug is not null").groupBy("doc_index").agg(F.array_sort(F.collect_list(F.struct("node_id", "depth", "text", "slug"))).alias("hs"))
     return packed.select("doc_index", F.array_join(lines, "\n").alias("toc"))
-
-
-def markup_text(text: Column) -> Column:
-    """Markup's running text without markers, for indexes: an approximation in one pass of patterns."""
-    return F.regexp_replace(text, r"!!|\*\*|//|__|~~|\?\?|\^\^|,,|``", "")

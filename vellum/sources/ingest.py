@@ -108,18 +108,28 @@ def _with_yaml(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], ["k", "data_json", "content"])
 
 
+def coarse(key: Column, kind: str) -> Column:
+    """A coarser key in the same order: ranges of 65536 numbers, or the first 16 letters."""
+    return F.floor(key / 65536) if kind in ("bigint", "int", "smallint", "tinyint") else F.substring(key.cast("string"), 1, 16)
+
+
 def parse_documents(sources: DataFrame, order_by: list[str], set_id: str = "") -> DataFrame:
     """The documents table of sources(text, meta_json [JSON mapping or null], and the order columns).
 
-    doc_index numbers documents by the order columns and their place in the source, from 0: places
-    inside sources are counted where the sources are, and only one number per source meets in one
-    task. A document that cannot be read fails the query, named by its number.
+    doc_index numbers documents by the order columns and their place in the source, from 0. It is a
+    prefix sum in two levels - inside coarse ranges of the first order column, then over the ranges'
+    totals - so no task sees all sources. A document that cannot be read fails the query, named by its number.
     """
     base = sources.withColumn("_src", F.xxhash64(*order_by)) if "source_id" not in sources.columns else sources.withColumn("_src", F.col("source_id"))
     chunks = split_documents(base.select("_src", *order_by, "text", "meta_json"), keys=["_src", *[c for c in order_by if c != "_src"], "meta_json"])
     sizes = chunks.groupBy("_src", *order_by).agg(F.count("*").alias("n"))
-    first = sizes.select(F.col("_src").alias("_s"), F.sum("n").over(W.orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)).alias("first"))
-    placed = chunks.join(first, F.col("_src") == F.col("_s")).withColumn("doc_index", F.coalesce("first", F.lit(0)) + F.col("chunk_no"))
+    sizes = sizes.withColumn("range", coarse(F.col(order_by[0]), dict(sizes.dtypes)[order_by[0]]))
+    before = (W.unboundedPreceding, -1)
+    ranges = sizes.groupBy("range").agg(F.sum("n").alias("total"))
+    ranges = ranges.select(F.col("range").alias("_range"), F.coalesce(F.sum("total").over(W.orderBy("range").rowsBetween(*before)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy(*order_by).rowsBetween(*before)), F.lit(0))
+    first = sizes.select(F.col("_src").alias("_s"), "range", inside.alias("inside")).join(ranges, F.col("range") == F.col("_range")).select("_s", (F.col("base") + F.col("inside")).alias("first"))
+    placed = chunks.join(first, F.col("_src") == F.col("_s")).withColumn("doc_index", F.col("first") + F.col("chunk_no"))
     return with_data(placed.select("doc_index", F.col("_src").alias("source_id"), "chunk_no", "chunk", "meta_json"), set_id)
 
 
