@@ -130,6 +130,7 @@ def test_scalars(spark):
     assert one(spark, T.typography(F.lit("a... b -> c <- d => e"))) == "a… b → c ← d ⇒ e"
     assert one(spark, T.emoji(F.lit(":rocket: :) x:)"))) == "🚀 🙂 x:)"
     assert [tuple(x) for x in one(spark, T.extract_imports(F.lit('% import a from "./a"\ntext\n%import b from \'pkg\';')))] == [("a", "./a"), ("b", "pkg")]
+    assert [one(spark, T.context_value(F.lit(x))) for x in ('{"a":1}', "1", "a b", 'q"')] == ['{"a":1}', "1", '"a b"', '"q\\""']
     image = T.resize_target(F.lit("static/i/p.png"), F.lit(".png"), F.lit(400), F.lit(300), to_width=100)
     assert tuple(one(spark, image)) == ("i/p-100x75.png", "/i/p-100x75.png", 100, 75)
     assert one(spark, T.table_markup(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("1|2"), F.lit(None))))) == "| a | b |\n| --- | --- |\n| 1\\|2 |  |"
@@ -175,16 +176,43 @@ def test_heading_ids_skip_taken_names(spark):
     assert [r.id for r in R.heading_ids(rows, "doc", "pos", "slug").orderBy("pos").collect()] == ["a", "a-1", "a-2", "a-3", None, "b"]
 
 
-def test_markup(spark):
-    text = "= A !!b!!\n\none\ntwo `` x //y// ``\n\n* [X] t\n\n> quote\n\n<b>\n# a comment\n---\n\n1. x\n2. y\n\n| a |\n| :-: |\n| p \\| q |"
-    docs = spark.createDataFrame([(0, text), (1, ""), (2, None)], "doc_index long, content string")
+def html_of(text):
+    names = [n for n, _ in markup.NODE_FIELDS]
+    return markup.write_html([dict(zip(names, r)) | {"props": list(r[6].items())} for r in markup.parse(text)])
+
+
+@pytest.mark.parametrize(
+    ("text", "html"),
+    [
+        ("= A !!b!!\n\none\ntwo `` x //y// ``", '<h1 id="a-b">A <strong>b</strong></h1><p>one two <code> x //y// </code></p>'),
+        ("Title\n-----\n= Title\n========= x", '<h2 id="title">Title</h2><h1 id="title-1">Title</h1><h6 id="x">x</h6>'),
+        ("<table class='a b' hidden\n  <tr\n    <td>first\n\n    <td id=x>!!2!!\nafter", '<table class="a b" hidden><tr><td>first</td><td id="x"><strong>2</strong></td></tr></table><p>after</p>'),
+        ("Plain.\n\n  In.\n    Twice.", "<p>Plain.</p><div><p>In.</p><div><p>Twice.</p></div></div>"),
+        ("< pre\n  ____\n    !!a!!\n<hr\n<!doctype html>", "<pre>____\n  !!a!!</pre><hr><!doctype html>"),
+        ("- one\n- two\n  3. in\n- - x", '<ul><li>one</li><li>two<ol start="3"><li>in</li></ol></li><li>- x</li></ul>'),
+        ("- [x] t\n- [X] u", '<ul class="contains-task-list"><li class="task-list-item"><input type="checkbox" checked disabled> t</li><li>[X] u</li></ul>'),
+        ("| Cap\n| a | b |\n| :-: | --- |\n| p \\| q |\n| 1 | 2 | 3 |", '<table><caption>Cap</caption><thead><tr><th style="text-align: center">a</th><th>b</th></tr></thead><tbody><tr><td style="text-align: center">p | q</td><td></td></tr><tr><td style="text-align: center">1</td><td>2</td></tr></tbody></table>'),
+        ("| no table |", "<p>| no table |</p>"),
+        ("_ _ _\n***\n---", "<hr><hr><hr>"),
+        ("a < b & c\n# comment\nd", "<p>a &lt; b &amp; c</p><p>d</p>"),
+        ("~~~js\n<b>\n= x\n~~~", '<pre><code class="language-js">&lt;b&gt;\n= x\n</code></pre>'),
+        ("see [[ ^2 ]] [[ ^9 ]]\n\n[[ ^1 ]]: unused\n[[ ^2 ]]: Note\nmore", '<p>see <sup><a href="#user-content-fn-1" id="user-content-fnref-1" data-footnote-ref aria-describedby="footnote-label">1</a></sup> [[ ^9 ]]</p><section data-footnotes class="footnotes"><h2 class="sr-only" id="footnote-label">Footnotes</h2><ol><li id="user-content-fn-1"><p>Note more <a href="#user-content-fnref-1" data-footnote-backref aria-label="Back to content" class="data-footnote-backref">↩</a></p></li></ol></section>'),
+        ("", ""),
+    ],
+)
+def test_markup(text, html):
+    assert html_of(text) == html
+
+
+def test_node_tables(spark):
+    docs = spark.createDataFrame([(0, "= A\n\n- [x] t\n- [ ] u\n- v"), (1, ""), (2, None)], "doc_index long, content string")
     nodes = markup.nodes(docs).cache()
-    html = {r.doc_index: r.html for r in markup.to_html(nodes).collect()}
-    assert html[1] == html[2] == ""
-    assert html[0].startswith('<h1 id="a-b">A <strong>b</strong></h1><p>one two <code> x //y// </code></p><ul><li') and "&lt;b&gt;" in html[0] and "comment" not in html[0] and "<hr>" in html[0]
-    assert '<td align="center">p | q</td>' in html[0] and "<ol><li>x</li><li>y</li></ol>" in html[0] and "<blockquote><p>quote</p></blockquote>" in html[0]
-    assert [(r.line, r.column, r.done) for r in markup.tasks(nodes).collect()] == [(6, 4, True)]
+    assert {r.doc_index: r.html == "" for r in markup.to_html(nodes).collect()} == {0: False, 1: True, 2: True}
+    assert sorted((r.line, r.column, r.done) for r in markup.tasks(nodes).collect()) == [(3, 4, True), (4, 4, False)]
     assert markup.visit(nodes, "li").count() == 3
+    assert markup.process(nodes, lambda t: t.where("depth < 2")).where("doc_index = 0").first().html == '<h1 id="a"></h1><ul class="contains-task-list"></ul>'
+    built = markup.node_rows(markup.h("p.x.y#z", {"title": 1}, "a", None, [markup.h("b", None, "c"), False]))
+    assert [(r[2], r[5] or r[7]) for r in built] == [(0, None), (1, "p"), (2, "a"), (2, "b"), (3, "c")] and built[1][6] == {"class": "x y", "id": "z", "title": "1"}
 
 
 def test_sanitize(spark):
@@ -222,6 +250,18 @@ def test_directories(spark, tmp_path):
     assert by["b.mdy"][0]["k"] == 1 and names(s.find({"ext": ".png"})) == ["i"]
 
 
+def test_imports(spark):
+    from vellum.plans.imports import ImportCycle, Site, import_order
+
+    graph = {"r": ["a", "b"], "a": ["c"], "b": ["c"], "c": []}
+    assert import_order("r", graph.__getitem__) == ["c", "a", "b", "r"]
+    with pytest.raises(ImportCycle, match="a -> b -> a"):
+        import_order("r", {"r": ["a"], "a": ["b"], "b": ["a"]}.__getitem__)
+    texts = {"/s": '% import lib from "./lib"\n% import x from "pkg"', "/s/lib": "+++\nk: 1\n+++", "/p": "+++\nk: 2\n+++"}
+    site_ = Site("/s", lambda d: DocSet.from_texts(spark, [texts[d]]), {"pkg": "/p"})
+    assert site_.order == ["/s/lib", "/p", "/s"] and names(site_.handle("x").find({"k": 2}), "k") == [2] and names(site_["/s/lib"].find(), "k") == [1]
+
+
 def test_image_sizes():
     assert files.image_size(b"GIF89a" + struct.pack("<HH", 7, 9)) == (7, 9)
     assert files.image_size(b"\xff\xd8\xff\xe0\0\4xx\xff\xc0\0\x11\x08" + struct.pack(">HH", 5, 6) + b"\0" * 9) == (6, 5)

@@ -171,3 +171,8 @@ def table_markup(rows: Column) -> Column:
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.get(rows, F.lit(0)))))
     return F.when(F.size(rows) > 0, F.concat_ws("\n", line(F.get(rows, F.lit(0))), rule, F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)))
+
+
+def context_value(text: Column) -> Column:
+    """A value given as text: JSON if it is JSON, else the text itself; as JSON text."""
+    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'^\{"v":(.*)\}$', 1))

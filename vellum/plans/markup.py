@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Markers and the elements they stand for; the last is literal.
 MARKERS = {"!!": "strong", "**": "strong", "//": "em", "__": "u", "~~": "del", "??": "mark", "^^": "sup", ",,": "sub", "``": "code"}
-VOID = {"br", "hr", "img", "col", "wbr", "input"}
+VOID = {"area", "br", "hr", "img", "col", "wbr", "input", "link", "meta", "source"}
 #: Elements, attributes and schemes that sanitising lets through, and elements that go with all they hold.
 TAGS = """address article aside blockquote br details div figcaption figure footer header hgroup hr main nav p pre section summary wbr
 h1 h2 h3 h4 h5 h6 dd dl dt li ol ul caption col colgroup table tbody td tfoot th thead tr a abbr b bdi bdo cite code data dfn del em
@@ -29,15 +29,20 @@ SCHEMES = {"href": ["ftp", "http", "https", "irc", "ircs", "mailto", "sms", "tel
 #: Nested blocks.
 MAX_DEPTH = 256
 
-HEADING = re.compile(r"^(={1,6})[ \t]+(.*?)[ \t]*=*$")
-RULE = re.compile(r"^[ \t]*(?:-[ \t]*){3,}$|^[ \t]*(?:\*[ \t]*){3,}$")
-FENCE = re.compile(r"^(\s*)(`{3,}|~{3,})\s*([^`\s]*)[^`]*$")
-ITEM = re.compile(r"^(\s*)([-*+]|\d+[.)])[ \t]+(.*)$")
-TASK = re.compile(r"^\[([ xX])\][ \t]+(.*)$")
-QUOTE = re.compile(r"^>[ \t]?(.*)$")
+HEADING = re.compile(r"^(={1,})[ \t]+(.*?)[ \t]*=*$")
+UNDERLINE = re.compile(r"^(?:(=+)|-{4,})[ \t]*$")
+RULE = re.compile(r"^(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$")
+FENCE = re.compile(r"^(`{3,}|~{3,})[ \t]*([^`\s]*)[^`]*$")
+ITEM = re.compile(r"^([-*+]|\d+[.)])[ \t]+(.*)$")
+TASK = re.compile(r"^\[([ x])\][ \t]+(.*)$")
+OPENER = re.compile(r"^<[ \t]*(?:([A-Za-z][\w-]*)|$|(?=>))")
+ATTRIBUTE = re.compile(r"""[ \t]*([\w:@.-]+)(?:=("[^"]*"|'[^']*'|[^\s>"']+))?""")
+NOTE = re.compile(r"^\[\[[ \t]*\^([^\]|]+?)[ \t]*\]\]:[ \t]*(.*)$")
 URL = re.compile(r"(?:https?|ftp)://[^\s<>\"']*[^\s<>\"'.,;:!?)\]]|mailto:[^\s<>]+")
 REFERENCE = re.compile(r"([#@])([^\W\d](?:[\w-]*\w)?)")
 WIKI = re.compile(r"\[\[((?:(?!\]\]).)+)\]\]", re.S)
+#: Elements whose content is text as it stands.
+RAW = {"pre", "script", "style", "textarea", "title"}
 
 
 def slug(text: str) -> str:
@@ -51,6 +56,8 @@ class Tree:
         self.rows: list[list] = []
         self.children: dict[int, int] = {}
         self.ids: set[str] = set()
+        self.notes: dict[str, str] = {}
+        self.cited: dict[str, int] = {}
 
     def add(self, parent: int, depth: int, kind: str, tag: str | None = None, props: dict | None = None, value: str | None = None, line: int = 0) -> int:
         if depth > MAX_DEPTH:
@@ -99,7 +106,12 @@ def inline(tree: Tree, parent: int, depth: int, text: str, line: int) -> None:
         found = None
         if two == "[[" and (m := WIKI.match(text, at)):
             label, _, url = (p.strip() for p in m[1].partition("|"))
-            found = label and ({"href": url or slug(label)}, label)
+            if label.startswith("^") and label[1:].strip() in tree.notes:
+                flush()
+                cite(tree, parent, depth, label[1:].strip(), line)
+                at = m.end()
+                continue
+            found = label and not label.startswith("^") and ({"href": url or slug(label)}, label)
         elif text[at] in "hfm" and (at == 0 or not text[at - 1].isalnum()) and (m := URL.match(text, at)):
             found = ({"href": m[0]}, m[0])
         elif text[at] in "#@" and (at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")) and (m := REFERENCE.match(text, at)):
@@ -115,105 +127,277 @@ def inline(tree: Tree, parent: int, depth: int, text: str, line: int) -> None:
     flush()
 
 
+def cite(tree: Tree, parent: int, depth: int, note: str, line: int) -> None:
+    """A numbered link to a note, by the order in which notes are first referred to."""
+    tree.cited[note] = tree.cited.get(note, 0) + 1
+    k, again = list(tree.cited).index(note) + 1, tree.cited[note]
+    name = f"user-content-fnref-{k}" + (f"-{again}" if again > 1 else "")
+    sup = tree.add(parent, depth, "element", "sup", line=line)
+    a = tree.add(sup, depth + 1, "element", "a", {"href": f"#user-content-fn-{k}", "id": name, "data-footnote-ref": "", "aria-describedby": "footnote-label"}, line=line)
+    tree.add(a, depth + 2, "text", value=str(k), line=line)
+
+
+def columns(line: str) -> int:
+    """The indentation of a line; a tab is four columns."""
+    return sum(4 if c == "\t" else 1 for c in line[: len(line) - len(line.lstrip(" \t"))])
+
+
+def cut(line: str, n: int) -> str:
+    """line without its first n columns of indentation."""
+    while n > 0 and line[:1] in (" ", "\t"):
+        n -= 4 if line[0] == "\t" else 1
+        line = line[1:]
+    return line
+
+
+def deeper(lines: list[tuple[int, str]], at: int, base: int) -> int:
+    """The end of the run from `at` whose lines are indented by `base` or more, blank lines inside it included."""
+    end = at
+    for i in range(at, len(lines)):
+        if lines[i][1].strip():
+            if columns(lines[i][1]) < base:
+                break
+            end = i + 1
+    return end
+
+
+def begins_block(line: str) -> bool:
+    return bool(HEADING.match(line) or RULE.match(line) or FENCE.match(line) or ITEM.match(line) or OPENER.match(line) or line.startswith("# ") or NOTE.match(line))
+
+
+def heading(tree: Tree, parent: int, depth: int, level: int, text: str, line: int) -> None:
+    name = tree.heading_id(re.sub(r"!!|\*\*|//|__|~~|\?\?|\^\^|,,|``", "", text))
+    node = tree.add(parent, depth, "element", f"h{min(level, 6)}", {"id": name} if name else {}, line=line)
+    inline(tree, node, depth + 1, text, line)
+
+
 def blocks(tree: Tree, parent: int, depth: int, lines: list[tuple[int, str]]) -> None:
+    """The blocks of lines whose own level is column 0."""
     at = 0
     while at < len(lines):
         n, line = lines[at]
         if not line.strip() or line.startswith("# ") or line.strip() == "#":
             at += 1
-        elif m := HEADING.match(line):
-            level, text = len(m[1]), m[2]
-            name = tree.heading_id(re.sub(r"!!|\*\*|//|__|~~|\?\?|\^\^|,,|``", "", text))
-            node = tree.add(parent, depth, "element", f"h{level}", {"id": name} if name else {}, line=n)
-            inline(tree, node, depth + 1, text, n)
+        elif columns(line) >= 2:
+            end = deeper(lines, at, 2)
+            node = tree.add(parent, depth, "element", "div", line=n)
+            blocks(tree, node, depth + 1, [(k, cut(x, 2)) for k, x in lines[at:end]])
+            at = end
+        elif m := HEADING.match(line := line.strip()):
+            heading(tree, parent, depth, len(m[1]), m[2], n)
             at += 1
         elif RULE.match(line):
             tree.add(parent, depth, "element", "hr", line=n)
             at += 1
         elif m := FENCE.match(line):
-            end = next((i for i in range(at + 1, len(lines)) if re.match(rf"^\s*{re.escape(m[2][0])}{{{len(m[2])},}}\s*$", lines[i][1])), len(lines))
+            indent = columns(lines[at][1])
+            end = next((i for i in range(at + 1, len(lines)) if re.match(rf"^\s*{re.escape(m[1][0])}{{{len(m[1])},}}\s*$", lines[i][1])), len(lines))
             pre = tree.add(parent, depth, "element", "pre", line=n)
-            code = tree.add(pre, depth + 1, "element", "code", {"class": f"language-{m[3]}"} if m[3] else {}, line=n)
-            tree.add(code, depth + 2, "text", value="".join(x[1].removeprefix(m[1]) + "\n" for x in lines[at + 1 : end]), line=n + 1)
+            code = tree.add(pre, depth + 1, "element", "code", {"class": f"language-{m[2]}"} if m[2] else {}, line=n)
+            tree.add(code, depth + 2, "text", value="".join(cut(x, indent) + "\n" for _, x in lines[at + 1 : end]), line=n + 1)
             at = end + 1
-        elif QUOTE.match(line):
-            end = at
-            while end < len(lines) and QUOTE.match(lines[end][1]):
-                end += 1
-            node = tree.add(parent, depth, "element", "blockquote", line=n)
-            blocks(tree, node, depth + 1, [(k, QUOTE.match(x)[1]) for k, x in lines[at:end]])
-            at = end
-        elif line.lstrip().startswith("|") and line.rstrip().endswith("|"):
-            at = table(tree, parent, depth, lines, at)
+        elif OPENER.match(line) or line.lower().startswith("<!doctype"):
+            at = element(tree, parent, depth, lines, at)
         elif ITEM.match(line):
             at = items(tree, parent, depth, lines, at)
+        elif (end := table(tree, parent, depth, lines, at)) > at:
+            at = end
         else:
-            end = at
-            while end < len(lines) and lines[end][1].strip() and (end == at or not (HEADING.match(lines[end][1]) or RULE.match(lines[end][1]) or FENCE.match(lines[end][1]) or ITEM.match(lines[end][1]) or lines[end][1].startswith(("# ", ">", "|")))):
+            end = at + 1
+            while end < len(lines) and (x := lines[end][1]).strip() and columns(x) < 2 and not UNDERLINE.match(x) and not begins_block(x):
+                end += 1
+            text = " ".join(x.strip() for _, x in lines[at:end])
+            if end < len(lines) and (u := UNDERLINE.match(lines[end][1])):
+                heading(tree, parent, depth, 1 if u[1] else 2, text, n)
                 end += 1
-            node = tree.add(parent, depth, "element", "p", line=n)
-            inline(tree, node, depth + 1, " ".join(x.strip() for _, x in lines[at:end]), n)
+            else:
+                node = tree.add(parent, depth, "element", "p", line=n)
+                inline(tree, node, depth + 1, text, n)
             at = end
 
 
+def element(tree: Tree, parent: int, depth: int, lines: list[tuple[int, str]], at: int) -> int:
+    n, line = lines[at]
+    line = line.strip()
+    end = deeper(lines, at + 1, columns(lines[at][1]) + 2)
+    if line.lower().startswith("<!doctype"):
+        tree.add(parent, depth, "doctype", line=n)
+        return at + 1
+    m = OPENER.match(line)
+    tag, rest, props = (m[1] or "div").lower(), line[m.end() :], {}
+    while rest.strip() and not rest.lstrip().startswith(">") and (a := ATTRIBUTE.match(rest)) and a.end():
+        props[a[1]] = a[2].strip("\"'") if a[2] else ""
+        rest = rest[a.end() :]
+    text = rest.strip().removeprefix(">").strip()
+    node = tree.add(parent, depth, "element", tag, props, line=n)
+    inner = [(k, cut(x, 2)) for k, x in lines[at + 1 : end]]
+    if tag in VOID:
+        return end
+    if tag in RAW:
+        tree.add(node, depth + 1, "text", value="\n".join([*([text] if text else []), *(x for _, x in inner)]), line=n)
+        return end
+    if text:
+        inline(tree, node, depth + 1, text, n)
+    blocks(tree, node, depth + 1, inner)
+    return end
+
+
 def items(tree: Tree, parent: int, depth: int, lines: list[tuple[int, str]], at: int) -> int:
-    first = ITEM.match(lines[at][1])
-    indent, ordered = len(first[1]), first[2][0].isdigit()
-    start = int(first[2][:-1]) if ordered else 1
-    node = tree.add(parent, depth, "element", "ol" if ordered else "ul", {"start": str(start)} if start != 1 else {}, line=lines[at][0])
-    while at < len(lines) and (m := ITEM.match(lines[at][1])) and len(m[1]) == indent and m[2][0].isdigit() == ordered:
-        n, end = lines[at][0], at + 1
-        while end < len(lines) and (not lines[end][1].strip() or len(lines[end][1]) - len(lines[end][1].lstrip()) > indent):
-            end += 1
-        inner = lines[at + 1 : end]
-        while inner and not inner[-1][1].strip():
-            inner = inner[:-1]
-            end -= 1
-        text, props = m[3], {}
-        if task := TASK.match(text):
-            text, props = task[2], {"data-task": "done" if task[1] in "xX" else "open", "data-column": str(lines[at][1].index("[") + 2)}
-        li = tree.add(node, depth + 1, "element", "li", props, line=n)
-        inline(tree, li, depth + 2, text, n)
-        if inner:
-            strip = min(len(x) - len(x.lstrip()) for _, x in inner if x.strip())
-            blocks(tree, li, depth + 2, [(k, x[strip:]) for k, x in inner])
+    """A list whose markers stand in one column; what is indented under an item is the item's."""
+    first = ITEM.match(lines[at][1].strip())
+    indent, ordered = columns(lines[at][1]), first[1][0].isdigit()
+    start = int(first[1][:-1]) if ordered else 1
+    found = []
+    while at < len(lines) and columns(lines[at][1]) == indent and not RULE.match(lines[at][1].strip()) and (m := ITEM.match(lines[at][1].strip())) and m[1][0].isdigit() == ordered:
+        end = deeper(lines, at + 1, indent + 1)
+        found.append((lines[at], m[2], lines[at + 1 : end]))
         at = end
-        while at < len(lines) and not lines[at][1].strip() and at + 1 < len(lines) and ITEM.match(lines[at + 1][1]):
-            at += 1
+        after = next((i for i in range(at, len(lines)) if lines[i][1].strip()), at)
+        if after < len(lines) and columns(lines[after][1]) == indent and ITEM.match(lines[after][1].strip()):
+            at = after
+    tasks = any(TASK.match(text) for _, text, _ in found)
+    props = ({"class": "contains-task-list"} if tasks else {}) | ({"start": str(start)} if start != 1 else {})
+    node = tree.add(parent, depth, "element", "ol" if ordered else "ul", props, line=found[0][0][0])
+    for (n, line), text, inner in found:
+        task = TASK.match(text)
+        li = tree.add(node, depth + 1, "element", "li", {"class": "task-list-item"} if task else {}, f"{task[1]}:{line.index('[') + 2}" if task else None, line=n)
+        if task:
+            tree.add(li, depth + 2, "element", "input", {"type": "checkbox", **({"checked": ""} if task[1] == "x" else {}), "disabled": ""}, line=n)
+            text = " " + task[2]
+        inline(tree, li, depth + 2, text, n)
+        if any(x.strip() for _, x in inner):
+            strip = min(columns(x) for _, x in inner if x.strip())
+            blocks(tree, li, depth + 2, [(k, cut(x, strip)) for k, x in inner])
     return at
 
 
 def cells(line: str) -> list[str]:
-    return [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", line.strip().strip("|") if not line.strip().endswith("\\|") else line.strip().lstrip("|"))]
+    line = re.sub(r"(?<!\\)\|$", "", line.strip().removeprefix("|"))
+    return [c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", line)]
+
+
+def delimiter(line: str) -> list[str | None] | None:
+    row = cells(line)
+    if "|" not in line or not all(re.fullmatch(r":?-+:?", c) for c in row):
+        return None
+    return [{(True, True): "center", (False, True): "right", (True, False): "left"}.get((c[0] == ":", c[-1] == ":")) for c in row]
 
 
 def table(tree: Tree, parent: int, depth: int, lines: list[tuple[int, str]], at: int) -> int:
-    end = at
-    while end < len(lines) and lines[end][1].lstrip().startswith("|"):
+    """The end of the table that begins at a line, or the line itself if none does."""
+    head, caption = at, None
+    if lines[at][1].lstrip().startswith("|") and at + 2 < len(lines) and len(cells(lines[at][1])) == 1 and not delimiter(lines[at + 1][1]) and delimiter(lines[at + 2][1]):
+        head, caption = at + 1, cells(lines[at][1])[0]
+    if head + 1 >= len(lines) or "|" not in lines[head][1] or not (align := delimiter(lines[head + 1][1])) or len(align) != len(cells(lines[head][1])):
+        return at
+    end = head + 2
+    while end < len(lines) and (x := lines[end][1]).strip() and columns(x) < 2 and not (HEADING.match(x) or RULE.match(x) or OPENER.match(x)):
         end += 1
-    rows = [(n, cells(x)) for n, x in lines[at:end]]
-    rule = next((i for i, (_, r) in enumerate(rows) if all(re.fullmatch(r":?-+:?", c) for c in r)), None)
-    align = [] if rule is None else [{(1, 1): "center", (0, 1): "right", (1, 0): "left"}.get((c[0] == ":", c[-1] == ":")) for c in rows[rule][1]]
     node = tree.add(parent, depth, "element", "table", line=lines[at][0])
-    groups = [("tbody", "td", rows)] if rule is None else [("thead", "th", rows[:rule]), ("tbody", "td", rows[rule + 1 :])]
-    for group, tag, part in groups:
+    if caption is not None:
+        inline(tree, tree.add(node, depth + 1, "element", "caption", line=lines[at][0]), depth + 2, caption, lines[at][0])
+    for group, tag, part in (("thead", "th", lines[head : head + 1]), ("tbody", "td", lines[head + 2 : end])):
         if part:
             g = tree.add(node, depth + 1, "element", group, line=part[0][0])
-            for n, r in part:
+            for n, x in part:
                 tr = tree.add(g, depth + 2, "element", "tr", line=n)
-                for i, c in enumerate(r):
-                    cell = tree.add(tr, depth + 3, "element", tag, {"align": align[i]} if i < len(align) and align[i] else {}, line=n)
-                    inline(tree, cell, depth + 4, c, n)
+                row = cells(x)
+                for i, how in enumerate(align):
+                    cell = tree.add(tr, depth + 3, "element", tag, {"style": f"text-align: {how}"} if how else {}, line=n)
+                    inline(tree, cell, depth + 4, row[i] if i < len(row) else "", n)
     return end
 
 
+def take_notes(tree: Tree, lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Lines without the definitions of notes, which go to the tree; lines under a definition join it."""
+    kept, note = [], None
+    fence = None
+    for n, line in lines:
+        mark = FENCE.match(line.strip())
+        if fence or mark:
+            fence = None if fence and mark and mark[1][0] == fence else fence or mark[1][0]
+            kept.append((n, line))
+            note = None
+        elif m := NOTE.match(line):
+            note = m[1].strip()
+            tree.notes.setdefault(note, m[2])
+        elif note is not None and line.strip():
+            tree.notes[note] += " " + line.strip()
+        else:
+            note = None
+            kept.append((n, line))
+    return kept
+
+
+def foot(tree: Tree, root: int) -> None:
+    """The section of notes; notes that only notes refer to follow them."""
+    section = tree.add(root, 1, "element", "section", {"data-footnotes": "", "class": "footnotes"})
+    h = tree.add(section, 2, "element", "h2", {"class": "sr-only", "id": "footnote-label"})
+    tree.add(h, 3, "text", value="Footnotes")
+    ol, k = tree.add(section, 2, "element", "ol"), 0
+    while k < len(tree.cited):
+        note = list(tree.cited)[k]
+        k += 1
+        li = tree.add(ol, 3, "element", "li", {"id": f"user-content-fn-{k}"})
+        p = tree.add(li, 4, "element", "p")
+        inline(tree, p, 5, tree.notes[note], 0)
+        for again in range(1, tree.cited[note] + 1):
+            tree.add(p, 5, "text", value=" ")
+            back = tree.add(p, 5, "element", "a", {"href": f"#user-content-fnref-{k}" + (f"-{again}" if again > 1 else ""), "data-footnote-backref": "", "aria-label": "Back to content", "class": "data-footnote-backref"})
+            tree.add(back, 6, "text", value="↩")
+            if again > 1:
+                tree.add(tree.add(back, 6, "element", "sup"), 7, "text", value=str(again))
+
+
 def parse(text: str) -> list[list]:
     tree = Tree()
     root = tree.add(-1, 0, "root")
-    blocks(tree, root, 1, list(enumerate((text or "").split("\n"), 1)))
+    blocks(tree, root, 1, take_notes(tree, list(enumerate((text or "").split("\n"), 1))))
+    if tree.cited:
+        foot(tree, root)
+    return tree.rows
+
+
+def h(selector: str, props: dict | None = None, *children) -> dict:
+    """A hand-built node: `tag.class#id`, attributes, and children (texts, nodes or lists of them;
+    None and False are left out)."""
+    tag = re.match(r"[\w-]*", selector)[0] or "div"
+    classes, names = re.findall(r"\.([\w-]+)", selector), re.findall(r"#([\w-]+)", selector)
+    found = ({"class": " ".join(classes)} if classes else {}) | ({"id": names[0]} if names else {}) | {k: str(v) for k, v in (props or {}).items()}
+    flat: list = []
+    stack = list(reversed(children))
+    while stack:
+        c = stack.pop()
+        if isinstance(c, (list, tuple)):
+            stack.extend(reversed(c))
+        elif c is not None and c is not False:
+            flat.append(c if isinstance(c, dict) else str(c))
+    return {"tag": tag, "props": found, "children": flat}
+
+
+def node_rows(node: dict) -> list[list]:
+    """The rows of a hand-built tree, below a root."""
+    tree = Tree()
+
+    def put(x, parent: int, depth: int) -> None:
+        if isinstance(x, str):
+            tree.add(parent, depth, "text", value=x)
+        else:
+            at = tree.add(parent, depth, "element", x["tag"], x["props"])
+            for c in x["children"]:
+                put(c, at, depth + 1)
+
+    put(node, tree.add(-1, 0, "root"), 1)
     return tree.rows
 
 
+def process(table: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """HTML after transforms of the node table, each a function of one table to another."""
+    for step in steps:
+        table = step(table)
+    return to_html(table)
+
+
 NODE_FIELDS = [("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("type", pa.string()), ("tag", pa.string()), ("props", pa.map_(pa.string(), pa.string())), ("value", pa.string()), ("line", pa.int32())]
 
 
@@ -276,8 +460,8 @@ def links(table: DataFrame) -> DataFrame:
 
 def tasks(table: DataFrame) -> DataFrame:
     """(doc_index, line, column, done) of task items: where their mark stands and what it is."""
-    found = table.where("tag = 'li'").where(F.col("props")["data-task"].isNotNull())
-    return found.select("doc_index", "line", F.col("props")["data-column"].cast("int").alias("column"), (F.col("props")["data-task"] == "done").alias("done"))
+    found = table.where((F.col("tag") == "li") & F.col("value").isNotNull())
+    return found.select("doc_index", "line", F.substring_index("value", ":", -1).cast("int").alias("column"), F.startswith(F.col("value"), F.lit("x")).alias("done"))
 
 
 def visit(table: DataFrame, test: str) -> DataFrame:
