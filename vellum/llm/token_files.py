@@ -95,7 +95,7 @@ def part_of(doc_id: Column, bounds: list[int]) -> Column:
     known, steps = F.array(*[F.lit(b).cast("long") for b in bounds]), len(bounds).bit_length()
 
     def narrow(lo: Column, k: Column) -> Column:
-        mid = lo + F.shiftright(F.lit(1 << steps), k)
+        mid = lo + F.call_function("shiftright", F.lit(1 << steps), k)
         return F.when((mid <= len(bounds)) & (F.get(known, mid - 1) <= doc_id), mid).otherwise(lo)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), narrow)
