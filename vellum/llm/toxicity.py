@@ -29,6 +29,8 @@ from ._common import materialize
 TRAIN_DOCS = 16_384
 #: Stems in the lexicon, and stem candidates that are examined in context.
 LEXICON, CANDIDATES = 5_000, 20_000
+#: Stems that a task counts at once.
+COUNTED = 100_000
 #: Log likelihood ratio that a stem must reach: that of the best of a million, and one more.
 SURPRISE = math.log(1e6) + 1
 #: Folds of crc32(doc_id as text); fold HELD_OUT is never learned from.
@@ -159,19 +161,27 @@ def held_out(doc_id: str | object):
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(stem, toxic documents, other documents): words and prefixes of 4 to 7 letters, once a document."""
+    """(stem, toxic documents, other documents): words and prefixes of 4 to 7 letters, once a document.
+    Counts are partial: they are given away whenever COUNTED stems are held."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def give() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array(names, pa.string()), *(pa.array([c[s] for s in names], pa.int64()) for c in (counts[1], counts[0]))]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, ["stem", "toxic", "other"])
+
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = set(WORD.findall((text or "").lower()))
+        for row in range(batch.num_rows):
+            words = set(WORD.findall((batch.column(0)[row].as_py() or "").lower()))
             stems = {w + "$" for w in words if len(w) <= 24}
             for n in (4, 5, 6, 7):
                 stems.update(w[:n] for w in words if len(w) >= n)
-            counts[1 if toxic else 0].update(stems)
-    names = list(counts[0].keys() | counts[1].keys())
-    for at in range(0, len(names), 100_000):
-        part = names[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[s] for s in part], pa.int64()) for c in (counts[1], counts[0]))], ["stem", "toxic", "other"])
+            counts[1 if batch.column(1)[row].as_py() else 0].update(stems)
+            if sum(map(len, counts)) >= COUNTED:
+                yield give()
+    yield give()
 
 
 def _contexts(stems: frozenset[str]):
