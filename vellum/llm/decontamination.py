@@ -21,6 +21,8 @@ WINDOW, COVERAGE = 5, 0.8
 LITERALS = 2
 #: Share of placeholder occurrences that must agree with one value for value mapping.
 CONSISTENCY = 0.8
+#: Words by which positions may shift inside one alignment of an item with a document.
+SHIFT = 2
 #: Benchmark windows that may be broadcast; beyond it the join is by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 NUMBER, NAME, UNIT = "\u0002n", "\u0002p", "\u0002u"
@@ -106,27 +108,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     rows = texts.select("doc_id", F.explode(F.array_distinct(hashed_windows(template(F.col("text")), window))).alias("h"))
     found = rows.join(weights, "h").groupBy("doc_id", "item_id").agg(F.least(F.sum("n") / F.max("total"), F.lit(1.0)).alias("coverage"))
     found = materialize(found.where(F.col("coverage") >= coverage), "found")
-    slotted = marks.where("slotted")
-    if slotted.isEmpty():
+    if marks.where("slotted").isEmpty():
         return found
-    return found.join(_inconsistent(texts, found, slotted, window), ["doc_id", "item_id"], "left_anti")
+    return found.join(_inconsistent(texts, found, marks, window, coverage), ["doc_id", "item_id"], "left_anti")
 
 
-def _inconsistent(texts: DataFrame, found: DataFrame, slotted: DataFrame, window: int) -> DataFrame:
+def _inconsistent(texts: DataFrame, found: DataFrame, marks: DataFrame, window: int, coverage: float) -> DataFrame:
     """(doc_id, item_id) of found pairs whose placeholder values contradict one another: for each of
-    an item's values, the document's most frequent counterpart is the mapping; too few agree with it."""
-    pairs = found.join(slotted.select("item_id").distinct(), "item_id").select("doc_id", "item_id")
+    an item's values, the document's most frequent counterpart is the mapping; too few agree with it.
+
+    Pairs are judged over all places where windows meet, and again over each alignment (document
+    position less item position, give or take SHIFT) that holds enough of the item by itself: one
+    consistent place is enough, whatever else the text repeats. An item whose windows stand in the
+    document with their own values is never rejected."""
+    pairs = found.join(marks.where("slotted").select("item_id").distinct(), "item_id").select("doc_id", "item_id")
     ids = pairs.select("doc_id").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    held = texts.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", canonical(F.col("text")).alias("c"))
-    held = held.select("doc_id", "c", F.posexplode(hashed_windows(F.col("c")["word"], window)).alias("at", "h"))
-    held = held.select("doc_id", "h", F.slice("c", F.col("at") + 1, window).alias("theirs"))
-    marks = slotted.select("item_id", "h", F.col("words").alias("ours"))
-    met = held.join(F.broadcast(marks) if slotted.count() <= BROADCAST_WINDOWS else marks, "h").join(pairs, ["doc_id", "item_id"], "left_semi")
-    slots = met.select("doc_id", "item_id", F.explode(F.arrays_zip("ours", "theirs")).alias("z")).where("z.ours.slot is not null")
-    votes = slots.groupBy("doc_id", "item_id", F.col("z.ours.word").alias("kind"), F.col("z.ours.slot").alias("value"), F.col("z.theirs.slot").alias("other")).agg(F.count("*").alias("n"))
-    each = votes.groupBy("doc_id", "item_id", "kind", "value").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    return each.groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("n")).alias("agree")).where(F.col("agree") < CONSISTENCY)
+    held = texts.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", F.xxhash64("text").alias("part"), canonical(F.col("text")).alias("c"))
+    held = held.select("doc_id", "part", "c", F.posexplode(hashed_windows(F.col("c")["word"], window)).alias("pos", "h"))
+    held = held.select("doc_id", "part", "pos", "h", F.slice("c", F.col("pos") + 1, window).alias("theirs"))
+    ours = marks.select("item_id", "h", "at", "total", "slotted", F.col("words").alias("ours"))
+    met = held.join(F.broadcast(ours) if marks.count() <= BROADCAST_WINDOWS else ours, "h").join(pairs, ["doc_id", "item_id"], "left_semi").drop("h")
+    met = materialize(met, "met")
+
+    def agreement(rows: DataFrame, *keys: str) -> DataFrame:
+        slots = rows.where("slotted").select(*keys, F.explode(F.arrays_zip("ours", "theirs")).alias("z")).where("z.ours.slot is not null")
+        votes = slots.groupBy(*keys, F.col("z.ours.word").alias("kind"), F.col("z.ours.slot").alias("value"), F.col("z.theirs.slot").alias("other")).agg(F.count("*").alias("n"))
+        each = votes.groupBy(*keys, "kind", "value").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+        return each.groupBy(*keys).agg((F.sum("most") / F.sum("n")).alias("agree"))
+
+    enough = F.count_distinct("at") / F.max("total") >= coverage
+    bad = materialize(agreement(met, "doc_id", "item_id").where(F.col("agree") < CONSISTENCY).select("doc_id", "item_id"), "contradicted")
+    met = met.join(bad, ["doc_id", "item_id"], "left_semi")
+    verbatim = met.where(F.col("ours") == F.col("theirs")).groupBy("doc_id", "item_id").agg(enough.alias("enough")).where("enough").select("doc_id", "item_id")
+    off = F.col("pos") - F.col("at")
+    place = ["doc_id", "item_id", "part", "off"]
+    near = met.withColumn("off", F.explode(F.sequence(off - SHIFT, off + SHIFT)))
+    whole = near.groupBy(*place).agg(enough.alias("enough")).where("enough").select(*place)
+    agreed = agreement(near.join(whole, place, "left_semi"), *place).where(F.col("agree") >= CONSISTENCY).select("doc_id", "item_id")
+    return bad.join(verbatim.union(agreed).distinct(), ["doc_id", "item_id"], "left_anti")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
