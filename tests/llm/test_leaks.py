@@ -25,3 +25,13 @@ def test_repeated_templates(spark):
     other = item.replace("40", "66", 1).replace("40", "21", 1).replace("40", "35", 1)
     assert found(spark, [other], [item]) == set()
     assert found(spark, [item.replace("40", "66")], [item]) == {(0, 0)}
+
+
+def test_names_that_begin_sentences(spark):
+    maria = "Maria has 12 apples. Maria gives 5 apples to Peter. How many apples does Maria have left?"
+    olga = "Olga has 31 apples. Olga gives 8 apples to Ivan. How many apples does Olga have left?"
+    tom = "Tom buys 12 red apples at the shop. Tom eats 5 of the apples on the way home. How many apples are left?"
+    sara = "so: Sara buys 40 red apples at the shop. Sara eats 7 of the apples on the way home. How many apples are left? Yes"
+    lower = "Which of the following words describes a long river that flows north?"
+    got = found(spark, [maria, olga, tom, sara, "and " + lower.lower()], [maria, tom, lower])
+    assert got == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)}

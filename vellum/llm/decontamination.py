@@ -37,7 +37,7 @@ kmh mph percent pct dollar dollars cent cents euro euros usd eur gbp degree degr
 SYMBOLS = r"[.!?:\n]+|\p{L}[\p{L}\p{M}]*+(?:['’]\p{L}[\p{L}\p{M}]*+)*+|\p{N}++(?:[.,:/]\p{N}++)*+"
 
 
-def _typed(text: Column, number: Callable, name: Callable, unit: Callable, word: Callable) -> Column:
+def _typed(text: Column, number: Callable, name: Callable, unit: Callable, first: Callable, word: Callable) -> Column:
     """The text's words in order, each given by the function of its kind."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SYMBOLS), F.lit(0))
     units = F.array(*[F.lit(u) for u in sorted(set(UNITS))])
@@ -46,8 +46,9 @@ def _typed(text: Column, number: Callable, name: Callable, unit: Callable, word:
         def one(w: Column, i: Column) -> Column:
             low, before = F.lower(w), F.get(symbols, i - 1)
             counted = (F.length(w) <= 10) & F.coalesce(before.rlike(r"^\p{N}"), F.lit(False)) & F.array_contains(units, low)
-            named = (w != low) & (F.length(w) > 1) & w.rlike(r"^\p{Lu}\P{Lu}*$") & ~F.coalesce(before.rlike(r"^[.!?:\n]"), F.lit(True))
-            return F.when(w.rlike(r"^[.!?:\n]"), F.lit(None)).when(w.rlike(r"^\p{N}"), number(w)).when(counted, unit(low)).when(named, name(low)).otherwise(word(low))
+            capital = (w != low) & (F.length(w) > 1) & w.rlike(r"^\p{Lu}\P{Lu}*$")
+            named = capital & ~F.coalesce(before.rlike(r"^[.!?:\n]"), F.lit(True))
+            return F.when(w.rlike(r"^[.!?:\n]"), F.lit(None)).when(w.rlike(r"^\p{N}"), number(w)).when(counted, unit(low)).when(named, name(low)).when(capital, first(low)).otherwise(word(low))
 
         return F.filter(F.transform(symbols, one), lambda x: x.isNotNull())
 
@@ -55,21 +56,38 @@ def _typed(text: Column, number: Callable, name: Callable, unit: Callable, word:
 
 
 def canonical(text: Column) -> Column:
-    """array of (word, slot): template words, and for placeholders the value that stood there.
+    """array of (word, slot, alt): template words, and for placeholders the value that stood there.
 
-    A capitalised word that begins no sentence is a name; one that begins a sentence is a plain
-    word, like words in capitals.
+    A capitalised word that begins no sentence is a name. One that begins a sentence may be either:
+    its word is the plain word and its alt a name; all other words have themselves as alt. Words in
+    capitals are plain words.
     """
 
-    def pair(word: Column, slot: Column) -> Column:
-        return F.struct(word.alias("word"), slot.alias("slot"))
+    def entry(word: Column, slot: Column, alt: Column) -> Column:
+        return F.struct(word.alias("word"), slot.alias("slot"), alt.alias("alt"))
 
-    return _typed(text, lambda w: pair(F.lit(NUMBER), w), lambda w: pair(F.lit(NAME), w), lambda w: pair(F.lit(UNIT), w), lambda w: pair(w, F.lit(None).cast("string")))
+    def placeholder(kind: str) -> Callable:
+        return lambda w: entry(F.lit(kind), w, F.lit(kind))
+
+    none = F.lit(None).cast("string")
+    return _typed(text, placeholder(NUMBER), placeholder(NAME), placeholder(UNIT), lambda w: entry(w, none, F.lit(NAME)), lambda w: entry(w, none, w))
 
 
 def template(text: Column) -> Column:
-    """array of the template words alone."""
-    return _typed(text, lambda w: F.lit(NUMBER), lambda w: F.lit(NAME), lambda w: F.lit(UNIT), lambda w: w)
+    """array of (word, alt): the template words alone, under both readings."""
+
+    def entry(word: Column, alt: Column) -> Column:
+        return F.struct(word.alias("word"), alt.alias("alt"))
+
+    def placeholder(kind: str) -> Callable:
+        return lambda w: entry(F.lit(kind), F.lit(kind))
+
+    return _typed(text, placeholder(NUMBER), placeholder(NAME), placeholder(UNIT), lambda w: entry(w, F.lit(NAME)), lambda w: entry(w, w))
+
+
+def window_hashes(text: Column, window: int) -> Column:
+    """array of the distinct hashes of a text's windows under both readings."""
+    return let(template(text), lambda t: F.array_distinct(F.concat(hashed_windows(t["word"], window), hashed_windows(t["alt"], window))))
 
 
 def hashed_windows(words: Column, window: int = WINDOW) -> Column:
@@ -83,14 +101,19 @@ def hashed_windows(words: Column, window: int = WINDOW) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, at, h, total, slotted, words): each item's windows with at least LITERALS plain words.
-    Items with a null id, or without such a window, cannot be found."""
+    """(item_id, at, h, total, slotted, words): each item's windows under each reading that leaves at
+    least LITERALS plain words. total counts the windows that have such a reading. Items with a null
+    id, or without such a window, cannot be found."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), canonical(F.col(text_col).cast("string")).alias("c")).where("item_id is not null")
-    spread = items.select("item_id", "c", F.posexplode(hashed_windows(F.col("c")["word"], window)).alias("at", "h"))
-    words = F.slice("c", F.col("at") + 1, window)
-    plain = F.size(F.filter(words, lambda x: x["slot"].isNull()))
-    rows = spread.select("item_id", "at", "h", words.alias("words"), (plain < window).alias("slotted")).where(plain >= min(LITERALS, window))
-    total = rows.groupBy("item_id").agg(F.count("*").alias("total"))
+    hashes = F.arrays_zip(hashed_windows(F.col("c")["word"], window).alias("h"), hashed_windows(F.col("c")["alt"], window).alias("alt"))
+    spread = items.select("item_id", "c", F.posexplode(hashes).alias("at", "z"))
+    spread = spread.select("item_id", "at", "z", F.slice("c", F.col("at") + 1, window).alias("words"))
+    plain = F.size(F.filter("words", lambda x: x["slot"].isNull()))
+    sure = F.size(F.filter("words", lambda x: x["slot"].isNull() & (x["alt"] == x["word"])))
+    least = min(LITERALS, window)
+    readings = F.array_distinct(F.concat(F.when(plain >= least, F.array("z.h")).otherwise(F.array().cast("array<long>")), F.when(sure >= least, F.array("z.alt")).otherwise(F.array().cast("array<long>"))))
+    rows = spread.select("item_id", "at", "words", (sure < window).alias("slotted"), F.explode(readings).alias("h"))
+    total = rows.groupBy("item_id").agg(F.count_distinct("at").alias("total"))
     return rows.join(total, "item_id")
 
 
@@ -101,12 +124,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     reported; rows that repeat an id are judged together; an empty side gives an empty result.
     """
     marks = materialize(benchmark_windows(benchmark, window, item_col, item_text_col), "windows")
-    size = marks.count()
-    weights = marks.groupBy("h", "item_id").agg(F.count("*").alias("n"), F.max("total").alias("total"))
-    weights = F.broadcast(weights) if size <= BROADCAST_WINDOWS else weights
+    places = marks.select("h", "item_id", "at", "total")
+    places = F.broadcast(places) if marks.count() <= BROADCAST_WINDOWS else places
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    rows = texts.select("doc_id", F.explode(F.array_distinct(hashed_windows(template(F.col("text")), window))).alias("h"))
-    found = rows.join(weights, "h").groupBy("doc_id", "item_id").agg(F.least(F.sum("n") / F.max("total"), F.lit(1.0)).alias("coverage"))
+    rows = texts.select("doc_id", F.explode(window_hashes(F.col("text"), window)).alias("h"))
+    found = rows.join(places, "h").groupBy("doc_id", "item_id").agg((F.count_distinct("at") / F.max("total")).alias("coverage"))
     found = materialize(found.where(F.col("coverage") >= coverage), "found")
     if marks.where("slotted").isEmpty():
         return found
@@ -125,22 +147,30 @@ def _inconsistent(texts: DataFrame, found: DataFrame, marks: DataFrame, window:
     ids = pairs.select("doc_id").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     held = texts.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", F.xxhash64("text").alias("part"), canonical(F.col("text")).alias("c"))
-    held = held.select("doc_id", "part", "c", F.posexplode(hashed_windows(F.col("c")["word"], window)).alias("pos", "h"))
-    held = held.select("doc_id", "part", "pos", "h", F.slice("c", F.col("pos") + 1, window).alias("theirs"))
+    hashes = F.arrays_zip(hashed_windows(F.col("c")["word"], window).alias("h"), hashed_windows(F.col("c")["alt"], window).alias("alt"))
+    held = held.select("doc_id", "part", "c", F.posexplode(hashes).alias("pos", "z"))
+    held = held.select("doc_id", "part", "pos", F.explode(F.array_distinct(F.array("z.h", "z.alt"))).alias("h"), F.slice("c", F.col("pos") + 1, window).alias("theirs"))
     ours = marks.select("item_id", "h", "at", "total", "slotted", F.col("words").alias("ours"))
     met = held.join(F.broadcast(ours) if marks.count() <= BROADCAST_WINDOWS else ours, "h").join(pairs, ["doc_id", "item_id"], "left_semi").drop("h")
-    met = materialize(met, "met")
+    # windows may meet under both readings
+    met = materialize(met.dropDuplicates(["doc_id", "item_id", "part", "pos", "at"]), "met")
+
+    def value(x: Column) -> Column:
+        return F.coalesce(x["slot"], x["word"])
+
+    # words that begin a sentence in both texts have a say only where they were exchanged
+    exchanged = F.col("z.ours.slot").isNotNull() | (F.col("z.ours.alt") != F.col("z.ours.word")) & (value(F.col("z.ours")) != value(F.col("z.theirs")))
 
     def agreement(rows: DataFrame, *keys: str) -> DataFrame:
-        slots = rows.where("slotted").select(*keys, F.explode(F.arrays_zip("ours", "theirs")).alias("z")).where("z.ours.slot is not null")
-        votes = slots.groupBy(*keys, F.col("z.ours.word").alias("kind"), F.col("z.ours.slot").alias("value"), F.col("z.theirs.slot").alias("other")).agg(F.count("*").alias("n"))
+        slots = rows.where("slotted").select(*keys, F.explode(F.arrays_zip("ours", "theirs")).alias("z")).where(exchanged)
+        votes = slots.groupBy(*keys, F.col("z.ours.alt").alias("kind"), value(F.col("z.ours")).alias("value"), value(F.col("z.theirs")).alias("other")).agg(F.count("*").alias("n"))
         each = votes.groupBy(*keys, "kind", "value").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
         return each.groupBy(*keys).agg((F.sum("most") / F.sum("n")).alias("agree"))
 
     enough = F.count_distinct("at") / F.max("total") >= coverage
     bad = materialize(agreement(met, "doc_id", "item_id").where(F.col("agree") < CONSISTENCY).select("doc_id", "item_id"), "contradicted")
     met = met.join(bad, ["doc_id", "item_id"], "left_semi")
-    verbatim = met.where(F.col("ours") == F.col("theirs")).groupBy("doc_id", "item_id").agg(enough.alias("enough")).where("enough").select("doc_id", "item_id")
+    verbatim = met.where(F.transform("ours", value) == F.transform("theirs", value)).groupBy("doc_id", "item_id").agg(enough.alias("enough")).where("enough").select("doc_id", "item_id")
     off = F.col("pos") - F.col("at")
     place = ["doc_id", "item_id", "part", "off"]
     near = met.withColumn("off", F.explode(F.sequence(off - SHIFT, off + SHIFT)))
