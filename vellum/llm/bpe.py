@@ -30,7 +30,11 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces in one generation of the memo, bytes of a pre-token merged at once, characters of a text split at once, bytes of text in one output batch.
-MEMO, WINDOW, CHUNK, OUT_BYTES = 150_000, 1024, 1 << 18, 4 << 20
+MEMO, WINDOW, CHUNK, OUT_BYTES = 150_000, 1024, 1 << 18, 8 << 20
+#: Fixed value: white space as Python's and RE2's patterns can both name it.
+BLANK = r"[ \t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A space with no non-space beside it.
+GAP = rf"{BLANK} (?:{BLANK}|\z)"
 
 
 class Memo(dict):
@@ -60,6 +64,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(printable) else chr(next(rest)) for b in range(256)]
 
 
+def gather(packed: list[bytes], at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the pieces numbered `at` in a row, how many lie between one place of `first` and the
+    next). packed: the ids of each distinct piece, as unsigned 32-bit integers."""
+    sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
+    flat = np.frombuffer(b"".join(packed), "<u4")
+    n = sizes[at]
+    ends = np.cumsum(n, dtype=np.int32)
+    where = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[at] - (ends - n), n)
+    where += np.arange(len(where), dtype=np.int32)
+    return flat[where], np.add.reduceat(n, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+
+
 class ByteBpe:
     def __init__(self, path: str, window: int = WINDOW):
         spec = json.load(open(path, encoding="utf-8"))
@@ -165,6 +181,51 @@ class ByteBpe:
         found = re.compile(r"(?<=\S)(?=[ \n])").search(text, at)
         return found.start() if found else len(text)
 
+    def pieces_of(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """For texts whose pieces are what lies between spaces: the packed ids of each distinct piece,
+        the piece at each place, and the place where each text begins."""
+        lists = pa.compute.split_pattern(texts, " ")
+        values, many = lists.flatten(), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        first = np.cumsum(many, dtype=np.int64) - many
+        later = np.ones(len(values), bool)
+        later[first] = False
+        inner, whole = values.filter(pa.array(later)).dictionary_encode(), values.take(pa.array(first)).dictionary_encode()
+        packed = [*map(self.inner.__getitem__, inner.dictionary.to_pylist()), *map(self.whole.__getitem__, whole.dictionary.to_pylist())]
+        at = np.empty(len(values), np.int32)
+        at[later] = inner.indices.to_numpy()
+        at[first] = whole.indices.to_numpy() + len(inner.dictionary)
+        return packed, at, first
+
+    def one_by_one(self, texts: pa.Array) -> np.ndarray:
+        """Which texts have special tokens, white space in runs or great length."""
+        odd = pa.compute.or_(pa.compute.match_substring_regex(texts, GAP), pa.compute.greater(pa.compute.binary_length(texts), CHUNK))
+        for t in self.special:
+            odd = pa.compute.or_(odd, pa.compute.match_substring(texts, t))
+        return odd.to_numpy(zero_copy_only=False)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a row, and how many each has. A batch's distinct pieces are worked out once each."""
+        odd = self.one_by_one(texts)
+        ids, n = gather(*self.pieces_of(texts.filter(pa.array(~odd))))
+        if not odd.any():
+            return ids, n
+        alone = [np.frombuffer(b"".join(self.pieces(t)), "<u4") for t in texts.filter(pa.array(odd)).to_pylist()]
+        many = np.empty(len(texts), np.int64)
+        many[~odd], many[odd] = n, [len(a) for a in alone]
+        before = np.where(odd, 0, many).cumsum()[odd]
+        parts = np.split(ids, before)
+        return np.concatenate([x for pair in zip(parts, alone) for x in pair] + [parts[-1]]), many
+
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        odd = self.one_by_one(texts)
+        many = np.empty(len(texts), np.int64)
+        many[odd] = [sum(map(len, self.pieces(t))) // 4 for t in texts.filter(pa.array(odd)).to_pylist()]
+        packed, at, first = self.pieces_of(texts.filter(pa.array(~odd)))
+        sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
+        many[~odd] = np.add.reduceat(sizes[at], first, dtype=np.int64) if len(first) else 0
+        return many
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.pieces(text)), "<u4")
 
@@ -217,29 +278,27 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def in_small_batches(batches: Iterable[pa.RecordBatch], text_at: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with about OUT_BYTES of text each, and their texts."""
+def in_small_batches(batches: Iterable[pa.RecordBatch], text_at: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about OUT_BYTES of text each."""
     for batch in batches:
         sizes = np.cumsum(pa.compute.binary_length(batch.column(text_at)).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, base + OUT_BYTES)))
-            part = batch.slice(at, to - at)
-            yield part, part.column(text_at).to_pylist()
+            yield batch.slice(at, to - at)
             at = to
 
 
 def _encoder(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch, texts in in_small_batches(batches):
-            packed = [b"".join(bpe.pieces(t)) for t in texts]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            columns = [batch.column(0), ids]
+        for batch in in_small_batches(batches):
+            ids, n = bpe.encode_all(batch.column(1))
+            ends = np.concatenate([[0], np.cumsum(n)])
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view("<i4")))]
             if decoded:
-                columns.append(pa.array([bpe.decode(np.frombuffer(p, "<u4").tolist()) for p in packed], pa.string()))
+                columns.append(pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     return run
@@ -258,8 +317,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, decoded: bool = True, id_c
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch, texts in in_small_batches(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, bpe.pieces(t))) // 4 for t in texts], pa.int64())], ["n_tokens"])
+        for batch in in_small_batches(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(bpe.count_all(batch.column(0)))], ["n_tokens"])
 
     return run
 
