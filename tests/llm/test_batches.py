@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellum.llm import bpe, token_files
 from vellum.llm.queries import tokenizer_path
 
-PIECES = ["a", "b", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "é", "é", "'s", "1", "!!", ".", "<|endoftext|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|end", "　", "😀", "The ", "Å", "word", "ﬁ"]
+PIECES = ["a", "b", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "é", "é", "'s", "1", "!!", ".", "<|endoftext|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|end", "　", "😀", "The ", "Å", "word", "ﬁ", "İ", "Σ", "ς", "ß", "ẞ", "Ǆ", "ŉ", "ſ", "ÉÑ"]
 
 
 def texts(n, seed):

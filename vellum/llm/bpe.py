@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -147,7 +148,7 @@ class ByteBpe:
         for token in self.split(piece):
             raw = token.encode("utf-8", "surrogatepass")
             ids += self.merged(raw) if len(raw) <= self.window else self.stream([raw])
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def pieces(self, text: str) -> Iterator[bytes]:
         """Packed ids, piece by piece."""

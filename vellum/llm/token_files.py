@@ -1,7 +1,7 @@
 """Token ids as flat files of unsigned integers with 64-bit document offsets.
 
-Texts are encoded where they lie, without a shuffle; ids, not texts, are then dealt out by ranges of
-doc_id that hold equally many tokens. One task writes a range in order, as parts of bounded size. A
+Texts are encoded where they lie, before the shuffle; ids, not texts, are then dealt out by ranges of
+doc_id that hold equally many bytes of text. One task writes a range in order, as parts of bounded size. A
 part is three files: `.tok` (ids, little-endian), `.off` (where each document begins, and the end;
 unsigned 64-bit, in ids) and `.doc` (doc_ids, signed 64-bit). Files are written under a name of that
 attempt's own, then renamed, so a repeated task leaves whole parts. A part's base is the prefix sum
@@ -16,6 +16,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import ids_and_texts, materialize, scratch
-from .bpe import OUT_BYTES, Memo, gather, in_small_batches
+from .bpe import OUT_BYTES, Memo, byte_letters, gather, in_small_batches
 
 #: Bytes of ids in one part, and writing tasks at most.
 PART_BYTES, TASKS = 32 << 20, 10_000
@@ -54,19 +55,25 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.by_word = drops_space(json.load(open(path, encoding="utf-8")))
-        self.letters = Memo(lambda w: np.array([t.id for t in self.tokenizer.model.tokenize(w)], "<u4").tobytes(), WORDS)
+        tokenize = self.tokenizer.model.tokenize
+        letters = dict(enumerate(byte_letters()))
+        self.letters = Memo(lambda w: array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]).tobytes(), WORDS)
         self.words = Memo(self.word, WORDS)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, word: str) -> bytes:
-        """Plain letters need neither normaliser nor pre-tokenizer and go to the model; a mark after them is a pre-token of its own."""
-        if not word:
-            return b""
-        stem, mark = (word[:-1], word[-1]) if word[-1] in ".,!?" else (word, "")
-        if stem.isascii() and stem.isalpha():
-            return self.letters[stem.lower()] + (self.words[mark] if mark and stem else self.ids(mark) if mark else b"")
+        """Latin letters alone are in normal form, have one lower case each and are one pre-token: they
+        go to the model. A mark after them is a pre-token of its own."""
+        if word.isalpha():
+            stem, mark = word, b""
+        elif word[-1:] in (".", ",", "!", "?") and word[:-1].isalpha():
+            stem, mark = word[:-1], self.words[word[-1]]
+        else:
+            return self.ids(word) if word else b""
+        if stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem:
+            return self.letters[stem.lower()] + mark
         return self.ids(word)
 
     def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,9 +243,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     """
     spark = docs.sparkSession
     rows = ids_and_texts(docs, id_col, text_col)
-    encoded = materialize(rows.mapInArrow(_encoder(tokenizer, end_id, dtype), "doc_id long, n long, ids binary"), "ids")
-    volume = (encoded.agg(F.sum("n")).first()[0] or 0) * np.dtype(dtype).itemsize
-    bounds = equal_ranges(encoded.select("doc_id", "n"), min(TASKS, ceil(volume / part_bytes)))
+    sizes = materialize(rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("n")), "sizes")
+    bounds = equal_ranges(sizes, min(TASKS, ceil((sizes.agg(F.sum("n")).first()[0] or 0) / (2 * part_bytes))))
+    encoded = rows.mapInArrow(_encoder(tokenizer, end_id, dtype), "doc_id long, n long, ids binary")
     target = local(folder or scratch(spark, "tokens"))
     os.makedirs(target, exist_ok=True)
     dealt = encoded.select(part_of(F.col("doc_id"), bounds).alias("task"), "doc_id", "n", "ids").repartitionById(len(bounds) + 1, F.col("task")).sortWithinPartitions("doc_id", "n", "ids")
