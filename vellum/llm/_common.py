@@ -95,7 +95,7 @@ def with_found(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> Dat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b: longs); root is the smallest node reachable.
+    """(node, root) for every node of edges (a, b: of one ordered type); root is the smallest node reachable.
 
     Star contraction: in each round every node ties itself and its neighbours to the smallest of
     them. A round is one grouped minimum and one skew-proof lookup, on edges only, written to the
@@ -106,10 +106,21 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if mark == before or mark[0] == 0:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            roots = now.select("lo").distinct()
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(roots.select("lo", "lo"))
         before = mark
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
         least = materialize(least, "least")
         tied = lookup(both, least, ["u"], ["m"], "degree", "v").select("v", "m").union(least.select(F.col("u").alias("v"), "m"))
         now = materialize(tied.where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
+
+
+def smallest_ids(classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, component_id, n) of classes (key, least [smallest id or null], n): component_id is the
+    smallest id of a class's component; found: (node, root) over keys, for the classes that have links."""
+    linked = materialize(classes.join(found, classes[key] == found["node"]).select(key, "least", "root"), "linked")
+    whole = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("w"))
+    named = lookup(linked, materialize(whole, "whole"), ["root"], ["component_id"], "w", key).select(F.col(key).alias("_k"), "component_id", F.lit(True).alias("_tied"))
+    out = classes.join(named, F.col(key) == F.col("_k"), "left")
+    return materialize(out.select(key, F.when(F.col("_tied"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), "n"), "tied")

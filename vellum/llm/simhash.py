@@ -3,9 +3,11 @@
 Fingerprints are made document by document on the executors. Distinct fingerprints are then joined
 through bit masks built so that any two within the radius agree on all pinned bits of at least one
 mask: bit i carries a non-zero vector of r+1 bits, mask v pins the bits whose vector has an odd
-product with v, and for any r bits some v is orthogonal to all their vectors. A bucket too large to
-compare inside is covered again by masks over the bits its mask left free, until at most 2^free
-fingerprints can be in it; nothing is capped, and a bucket gives a spanning forest, never all pairs.
+product with v, and for any r bits some v is orthogonal to all their vectors. Buckets are counted
+before they are dealt out. One too large to compare inside is covered again, row by row where its
+rows lie, by masks over the bits its mask left free. The first r+1 vectors are the unit vectors, so
+each mask over more than r free bits pins one at least, and buckets shrink to 2^r fingerprints;
+nothing is capped, and a bucket gives a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -18,15 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, ids_and_texts, lookup, materialize, without_ids
+from ._common import components, ids_and_texts, lookup, materialize, smallest_ids, without_ids
 
 #: Distinct fingerprints of one bucket that are compared with one another.
 BUCKET = 256
 #: Shingles whose hashes are held at once.
 BLOCK = 8192
-#: Ids are below it. Classes without an id stand at or above it, by their fingerprint's low 62 bits:
-#: two with the same low bits differ in two bits at most.
-NO_ID = 2**62
+#: Values of pinned bits whose finer masks may be broadcast.
+BROADCAST_MASKS = 100_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -56,10 +57,12 @@ def _fingerprints(words: int, seed: int):
 
 
 def masks(free: int, radius: int) -> list[int]:
-    """The bits to pin, one mask for each non-zero v, over the bits set in `free`."""
+    """The bits to pin, one mask for each non-zero v, over the bits set in `free`: each pins at least
+    one if more than `radius` are free."""
     bits = [b for b in range(64) if free >> b & 1]
     n = 2 ** (radius + 1) - 1
-    return [sum(1 << b for j, b in enumerate(bits) if (v & (j % n + 1)).bit_count() & 1) for v in range(1, n + 1)]
+    vectors = sorted(range(1, n + 1), key=lambda v: (v.bit_count() > 1, v))
+    return [sum(1 << b for j, b in enumerate(bits) if (v & vectors[j % n]).bit_count() & 1) for v in range(1, n + 1)]
 
 
 def _signed(x: int) -> int:
@@ -81,78 +84,64 @@ def _forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, i
     return edges
 
 
-def _links(radius: int, bucket: int):
-    """Rows sorted by (pinned, key): edges of small buckets (kind 0), and the rows of large ones
-    under each finer mask (kind 1). Holds bucket + 1 rows of a bucket at most."""
+def _links(radius: int):
+    """Rows sorted by (pinned, key) as edges (a, b): each bucket's spanning forest. Holds a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finer: dict[int, list[int]] = {}
-        pending: list[np.ndarray] = []
-        large = False
+        def edges(buckets: list[np.ndarray]) -> pa.RecordBatch:
+            found = [e for rows in buckets if len(rows) > 1 for e in _forest(np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, 3], radius)]
+            e = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-        def out(kind: int, a, b, c) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (a, b, c))], ["kind", "a", "b", "pinned"])
+        held = np.empty((0, 4), np.int64)
+        for batch in batches:
+            table = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)])
+            cuts = np.flatnonzero((table[1:, :2] != table[:-1, :2]).any(axis=1)) + 1
+            buckets = np.split(table, cuts)
+            held = buckets.pop()
+            yield edges(buckets)
+        yield edges([held])
 
-        def again(rows: np.ndarray) -> pa.RecordBatch:
-            pinned = int(rows[0, 0])
-            if pinned not in finer:
-                whole = pinned & (2**64 - 1)
-                finer[pinned] = [_signed(whole | m) for m in masks(~whole & (2**64 - 1), radius)]
-            to = finer[pinned]
-            return out(1, np.repeat(rows[:, 2], len(to)), np.repeat(rows[:, 3], len(to)), np.tile(np.array(to, np.int64), len(rows)))
+    return run
 
-        def closed(rows: np.ndarray) -> list[tuple[int, int]]:
-            return _forest(np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, 3], radius)
 
+def _finer(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
-            if not len(table):
-                continue
-            cuts = np.flatnonzero((table[1:, :2] != table[:-1, :2]).any(axis=1)) + 1
-            bounds = [0, *cuts.tolist(), len(table)]
-            edges: list[tuple[int, int]] = []
-            for lo, hi in zip(bounds, bounds[1:]):
-                rows = table[lo:hi]
-                if pending and (pending[0][0, :2] != rows[0, :2]).any():
-                    if not large and sum(map(len, pending)) > 1:
-                        edges += closed(np.concatenate(pending))
-                    pending, large = [], False
-                if hi < len(table) and not pending:
-                    if hi - lo == 1:
-                        continue
-                    if hi - lo <= bucket:
-                        edges += closed(rows)
-                        continue
-                if large or sum(map(len, pending)) + len(rows) > bucket:
-                    rows = rows if large else np.concatenate([*pending, rows])
-                    for at in range(0, len(rows), 4096):
-                        yield again(rows[at : at + 4096])
-                    pending, large = [rows[-1:]], True
-                else:
-                    pending.append(rows)
-            if edges:
-                e = np.array(edges, np.int64)
-                yield out(0, e[:, 0], e[:, 1], np.zeros(len(e)))
-        if pending and not large and sum(map(len, pending)) > 1:
-            if edges := closed(np.concatenate(pending)):
-                e = np.array(edges, np.int64)
-                yield out(0, e[:, 0], e[:, 1], np.zeros(len(e)))
+            found = []
+            for pinned in batch.column(0).to_pylist():
+                whole = pinned & (2**64 - 1)
+                found.append([_signed(whole | m) for m in masks(~whole & (2**64 - 1), radius)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["_p", "finer"])
 
     return run
 
 
 def hamming_links(classes: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): edges that tie together the classes (fp, rep; both longs, fp unique) with at most
-    `radius` differing bits, directly or by way of others. No link is lost or added."""
+    """(a, b): edges that tie together the classes (fp, rep; both longs, fp unique) with at most `radius` differing bits, directly or by way of others. No link is lost or added; an empty table
+    has none. A `bucket` below 2^radius counts as that: so many may differ in the last free bits."""
+    bucket = max(bucket, 2**radius)
     rows = classes.select("fp", "rep", F.explode(F.array(*[F.lit(_signed(m)) for m in masks(2**64 - 1, radius)])).alias("pinned"))
-    found = []
+    found, level = [], 0
     while True:
-        dealt = rows.select("pinned", F.col("fp").bitwiseAND(F.col("pinned")).alias("key"), "fp", "rep").repartition("pinned", "key").sortWithinPartitions("pinned", "key", "fp")
-        level = materialize(dealt.mapInArrow(_links(radius, bucket), "kind int, a long, b long, pinned long"), "links")
-        found.append(level.where("kind = 0").select("a", "b"))
-        rows = level.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("rep"), "pinned").distinct()
-        if rows.isEmpty():
+        keyed = rows.select("pinned", F.col("fp").bitwiseAND(F.col("pinned")).alias("key"), "fp", "rep")
+        large = materialize(keyed.groupBy("pinned", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "large")
+        last = large.isEmpty()
+        if not last:
+            keyed = materialize(lookup(keyed, large, ["pinned", "key"], ["n"], "n", "fp"), "level")
+        small = keyed if last else keyed.where("n is null")
+        dealt = small.select("pinned", "key", "fp", "rep").repartition("pinned", "key").sortWithinPartitions("pinned", "key", "fp")
+        found.append(materialize(dealt.mapInArrow(_links(radius), "a long, b long"), "links"))
+        if last:
             break
+        level += 1
+        if level > 64:
+            raise RuntimeError("a mask pinned no further bit")
+        finer = materialize(large.select("pinned").distinct().mapInArrow(_finer(radius), "_p long, finer array<long>"), "masks")
+        few = finer.limit(BROADCAST_MASKS + 1).count() <= BROADCAST_MASKS
+        rows = keyed.where("n is not null").join(F.broadcast(finer) if few else finer, F.col("pinned") == F.col("_p")).select("fp", "rep", F.explode("finer").alias("pinned"))
+        # two masks of a level can pin the same bits: a fingerprint goes there once
+        rows = rows.distinct()
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -162,22 +151,19 @@ def hamming_links(classes: DataFrame, radius: int = 3, bucket: int = BUCKET) ->
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest id reachable over links of at most `radius` bits. Null and wordless
-    texts have fingerprint zero, which links like any other. A null id comes after all ids: it is a
-    component's id (null) only if no row there has one. Repeated ids and rows are all returned; the
-    classes are of fingerprints, so ties need no order. An empty table gives an empty result.
+    component_id is the smallest id reachable over links of at most `radius` bits; null if no row
+    there has an id. Null and wordless texts have fingerprint zero, which links like any other. Any
+    64-bit number is an id; rows that repeat an id are fingerprints of their own and are tied by
+    links alone. Repeated ids and rows are all returned; an empty table gives an empty result.
     """
     if not 2 <= radius < 6:
         raise ValueError("radius must be 2 to 5")
     texts = ids_and_texts(docs, id_col, text_col)
     fps = materialize(texts.mapInArrow(_fingerprints(words, seed), "doc_id long, fp long"), "fps")
-    rep = F.coalesce(F.min("doc_id"), F.col("fp").bitwiseAND(NO_ID - 1) + NO_ID)
-    classes = materialize(fps.groupBy("fp").agg(rep.alias("rep"), F.count("*").alias("n")), "classes")
-    # a repeated id can stand for two fingerprints; classes that share one are tied by it
-    found = components(hamming_links(classes, radius, bucket))
-    tied = materialize(classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("root"), "n"), "tied")
-    out = lookup(fps, tied, ["fp"], ["root"], "n", "doc_id")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    tied = smallest_ids(classes, components(hamming_links(classes.select("fp", F.col("fp").alias("rep")), radius, bucket)), "fp")
+    out = lookup(fps, tied, ["fp"], ["component_id"], "n", "doc_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
