@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are read as symbols - insult, threat, target, negation, reported speech, other - and small
-transducers, each with a finite memory, multiply the weight of what they see: a target nearby makes
-an insult heavier, a negation just before it or reported speech earlier in the clause make it
-lighter, a threat counts only with a target. Their composition scores clauses; a document's score
-is a logistic function of its clause scores. The insult stems, their weights and the logistic
-function are learned from labelled rows; the function words of the grammar are fixed.
+transducers, each with a finite memory, give each symbol a factor: an insult counts as it stands, a
+threat only where a target is before or after it, a target nearby makes an insult heavier, a negation
+just before or reported speech before or after it in the clause make both lighter. Their composition
+runs over a clause from the left and from the right, and scores it; a document's score is a logistic
+function of its clause scores. The insult stems, their weights and the logistic function are learned
+from labelled rows; the function words of the grammar are fixed.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from ._common import materialize
 
 #: Labelled documents that the lexicon and the logistic function are fitted on, taken in the order of a hash of their ids.
 TRAIN_DOCS = 16_384
-#: Stems in the lexicon, and stem candidates that are examined in context.
-LEXICON, CANDIDATES = 5_000, 20_000
 #: Stems that a task counts at once.
 COUNTED = 100_000
 #: Log likelihood ratio that a stem must reach: that of the best of a million, and one more.
@@ -45,6 +44,9 @@ WORDS = {
     REPORT: "said says say told called claimed wrote quote quoted sagte sagt sagen nannte behauptete dit disait appelé écrit dijo dice llamó escribió",
 }
 SYMBOL = {w: kind for kind, words in WORDS.items() for w in words.split()}
+#: Endings that a threat's base form may have, after a doubled last letter or not.
+ENDINGS = "s es ed d ing er ers t st e en est et ez é ée és n an a as".split()
+THREATS = frozenset(WORDS[THREAT].split())
 THREAT_WEIGHT = 2.0
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
@@ -79,8 +81,37 @@ def near(trigger: int, span: int, affected: tuple[int, ...], factor: float, othe
     return Transducer(0, step)
 
 
-#: Reported speech lasts to the clause's end (no clause is that long without losing it).
-GRAMMAR = near(TARGET, 4, (INSULT,), 1.5) @ near(NEGATION, 2, (INSULT, THREAT), 0.3) @ near(REPORT, 1 << 20, (INSULT, THREAT), 0.5)
+#: To the clause's end (no clause is that long without losing it).
+FAR = 1 << 20
+#: Weighs what it reads: insults and threats count, all else does not.
+INSULTS = Transducer(0, lambda state, symbol: (state, 1.0 if symbol in (INSULT, THREAT) else 0.0))
+AIMED, DENIED, REPORTED = near(TARGET, 4, (INSULT,), 1.5), near(NEGATION, 2, (INSULT, THREAT), 0.3), near(REPORT, FAR, (INSULT, THREAT), 0.5)
+#: Read from the left and from the right; their factors multiply.
+GRAMMAR, BACKWARD = INSULTS @ AIMED @ DENIED @ REPORTED, AIMED @ REPORTED
+#: A threat needs a target on either side: the larger of both readings counts.
+THREATENED = near(TARGET, FAR, (THREAT,), 1.0, 0.0)
+
+
+def run(machine: Transducer, symbols: list[int]) -> list[float]:
+    """The factor of each symbol."""
+    state, out = machine.start, []
+    for symbol in symbols:
+        state, factor = machine.step(state, symbol)
+        out.append(factor)
+    return out
+
+
+@lru_cache(maxsize=65536)
+def is_threat(word: str) -> bool:
+    """Whether a word is a threat's base form, with an ending or without."""
+    if word in THREATS:
+        return True
+    for end in ENDINGS:
+        if word.endswith(end):
+            base = word[: len(word) - len(end)]
+            if base in THREATS or len(base) > 3 and base[-1] == base[-2] and base[:-1] in THREATS:
+                return True
+    return False
 
 
 @dataclass
@@ -117,20 +148,17 @@ class Scorer:
 
     def clause(self, text: str) -> float:
         """Total weight of a clause's symbols after the grammar's factors."""
-        state, total, threat, target = GRAMMAR.start, 0.0, 0.0, False
-        for word in WORD.findall(text):
-            weight = self.weight(word)
-            symbol = INSULT if weight else SYMBOL.get(word, OTHER)
-            state, factor = GRAMMAR.step(state, symbol)
-            target |= symbol == TARGET
-            if symbol == INSULT:
-                total += weight * factor
-            elif symbol == THREAT:
-                threat += THREAT_WEIGHT * factor
-        return total + (threat if target else 0.0)
+        words = WORD.findall(text)
+        weights = [self.weight(w) for w in words]
+        symbols = [INSULT if x else SYMBOL.get(w, THREAT if is_threat(w) else OTHER) for w, x in zip(words, weights)]
+        if INSULT not in symbols and not (THREAT in symbols and TARGET in symbols):
+            return 0.0
+        forward, backward = run(GRAMMAR, symbols), run(BACKWARD, symbols[::-1])[::-1]
+        aimed = list(map(max, run(THREATENED, symbols), run(THREATENED, symbols[::-1])[::-1]))
+        return sum((x or THREAT_WEIGHT) * f * b * t for x, f, b, t in zip(weights, forward, backward, aimed) if f)
 
     def raw(self, text: str) -> float:
-        """Sum of a text's clause scores. Only clauses where the automaton finds something are read."""
+        """Sum of a text's clause scores. Only clauses where the automaton finds something are read, each once."""
         text, end, total = text.lower(), -1, 0.0
         for at, (stem, _) in self.found.iter(text):
             if at <= end:
@@ -138,9 +166,9 @@ class Scorer:
             begin = at - len(stem.rstrip("$"))
             if begin >= 0 and text[begin].isalnum():
                 continue
+            start = max(end, *(text.rfind(c, end + 1, at) for c in ".!?;:\n")) + 1
             stop = CLAUSE_END.search(text, at)
             end = stop.start() if stop else len(text)
-            start = max(text.rfind(c, 0, at) for c in ".!?;:\n") + 1
             total += self.clause(text[start:end])
         return total
 
@@ -175,7 +203,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             words = set(WORD.findall((batch.column(0)[row].as_py() or "").lower()))
-            stems = {w + "$" for w in words if len(w) <= 24}
+            stems = {w + "$" for w in words}
             for n in (4, 5, 6, 7):
                 stems.update(w[:n] for w in words if len(w) >= n)
             counts[1 if batch.column(1)[row].as_py() else 0].update(stems)
@@ -233,13 +261,14 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
         return Model()
     counts = sample.mapInArrow(_stem_counts, "stem string, toxic long, other long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("other") + 0.5) / (n0 + 1))
-    likely = counts.withColumn("odds", odds).where("toxic >= 3 and odds >= ln(20)")
-    top = likely.orderBy(F.desc(F.col("toxic") * F.col("odds")), "stem").limit(CANDIDATES).collect()
+    base, n = n1 / (n1 + n0), F.col("toxic") + F.col("other")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    surprising = part(F.col("toxic"), base) + part(F.col("other"), 1 - base) >= SURPRISE if n0 else F.lit(False)
+    # what passes is bounded by the words of train_docs documents
+    top = counts.withColumn("odds", odds).where("toxic >= 3 and odds >= ln(20)").where(surprising).collect()
     seen = sample.mapInArrow(_contexts(frozenset(r["stem"] for r in top)), "stem string, toxic boolean, around string").where("toxic").distinct().groupBy("stem").count()
-    contexts = {r["stem"]: r["count"] for r in seen.where(F.col("count") > 1).collect()}  # at most CANDIDATES rows
-    base = n1 / (n1 + n0)
-    stems = {r["stem"]: min(6.0, r["odds"]) for r in top if surprise(min(r["toxic"], contexts.get(r["stem"], 0)), r["other"], base) >= SURPRISE}
-    stems = dict(sorted(stems.items(), key=lambda x: -x[1])[:LEXICON])
+    contexts = {r["stem"]: r["count"] for r in seen.where(F.col("count") > 1).collect()}  # no more rows than top
+    stems = {r["stem"]: r["odds"] for r in top if surprise(min(r["toxic"], contexts.get(r["stem"], 0)), r["other"], base) >= SURPRISE}
     model = Model(stems)
     rows = sample.mapInArrow(_raw_scores(model), "raw double, toxic int").collect()  # at most train_docs pairs of numbers
     x, y = np.log1p([r["raw"] for r in rows]), np.array([r["toxic"] > 0 for r in rows], float)
@@ -290,5 +319,7 @@ def _clean(model: Model, at: int):
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows that score 0.5 or more, all columns as they are."""
+    """docs without the rows that score 0.5 or more, all columns as they are, whatever their names and
+    types. Null and empty texts score as texts in which nothing is found; rows with a null or repeated
+    id are judged each by its text; an empty table stays empty."""
     return docs.mapInArrow(_clean(model, docs.columns.index(text_col)), docs.schema)
