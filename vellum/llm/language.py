@@ -4,7 +4,8 @@ Four kinds of evidence meet in one posterior: the text's likelihood under byte-t
 language that markup declares, the suffix of the address, and a prior of the host. The models are
 fitted on a bounded sample of labelled texts; how far declarations and suffixes can be trusted, and
 the host priors, are counted over all rows by grouped aggregation. A host's prior is smoothed by its
-registered domain's, that by its suffix's, that by all rows'; what is absent says nothing.
+registered domain's, that by its suffix's, that by all rows', each without the row that is judged;
+what is absent says nothing.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ TRAIN_TEXTS, BUCKETS = 8_192, 1 << 15
 INDEPENDENT = 60
 #: Pseudo-counts that a level of the priors gives to the level above it, and of the other tables.
 SMOOTHING, PSEUDO = 5.0, 1.0
+#: Languages of a model at most.
+LANGUAGES = 512
+#: Labels under which the registries of countries register names.
+SECOND_LEVEL = "ac co com edu go gob gov gv ne net or org".split()
 #: Bytes of a text whose trigrams are counted at once.
 BLOCK = 1 << 20
 
@@ -69,19 +74,21 @@ class TextModel:
 
 def train(texts: DataFrame, max_texts: int = TRAIN_TEXTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextModel:
     """Fits trigram models on at most max_texts labelled texts, in the order of a hash of their ids,
-    leaving out ids with crc32(id) mod 5 = 0. Languages are those that the sample declares (under
-    256); null labels are left out. Without a label there is no language and no evidence."""
+    leaving out ids with crc32(id) mod 5 = 0. Languages are those that the sample declares; more than
+    LANGUAGES are an error, for a model of each is held in memory. Null labels are left out. Without a label there is no language and no evidence."""
     known = texts.select(F.col(id_col).cast("long").alias("id"), F.lower(F.trim(F.col(lang_col))).alias("lang")).where("id is not null and lang <> ''")
     chosen = known.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("lang").alias("lang")).orderBy(F.xxhash64("id"), "id").limit(max_texts)
     chosen = materialize(chosen, "labels")  # at most max_texts rows
-    languages = sorted(r["lang"] for r in chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(255).collect())
+    languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"{len(languages)} languages are declared, {LANGUAGES} can be told apart")
     if not languages:
         return TextModel(["und"], np.zeros((1, BUCKETS)))
     body = texts.select(F.col(id_col).cast("long").alias("tid"), F.col(text_col).cast("string").alias("text"))
-    sample = body.join(F.broadcast(chosen), F.col("tid") == F.col("id")).where(F.col("lang").isin(languages)).select("lang", "text")
+    sample = body.join(F.broadcast(chosen), F.col("tid") == F.col("id")).select("lang", "text")
     sums = sample.mapInArrow(_counts(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), BUCKETS))
-    for r in sums.toLocalIterator():  # at most 255 x BUCKETS numbers
+    for r in sums.toLocalIterator():  # at most LANGUAGES x BUCKETS numbers
         counts[r["lang"], r["bucket"]] = r["n"]
     return TextModel(languages, counts)
 
@@ -115,8 +122,9 @@ def host_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The last two labels; addresses of one label stand for themselves."""
-    return F.substring_index(host, ".", -2)
+    """The last two labels, three under a country's own second level (`example.co.uk`); addresses of one label stand for themselves."""
+    under = F.substring_index(F.substring_index(host, ".", -2), ".", 1).isin(SECOND_LEVEL) & host.rlike(r"\.[a-z]{2}$")
+    return F.when(under, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
@@ -140,43 +148,50 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     powers = F.transform("ll", lambda x: F.exp(x))
     share = F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
     informed = F.array_min("ll") < 0
-    mass = [F.sum(F.get("share", F.lit(i))).alias(f"m{i}") for i in range(n)]
     cols = [f"m{i}" for i in range(n)]
-    parts = seen.select("declared", "host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), share.alias("share")).where(informed)
-    hosts = materialize(parts.groupBy("host", "domain", "suffix").agg(*mass, F.count("*").alias("rows")), "hosts")
-    levels = {}
-    for level in ("domain", "suffix"):
-        levels[level] = hosts.where(F.col(level).isNotNull()).groupBy(level).agg(*[F.sum(c).alias(c) for c in cols])
+    nothing = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.lit(0.0))
+    # hosts without a text that says something are known too, by their domain and suffix
+    parts = seen.select("declared", "host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.when(informed, share).otherwise(nothing).alias("share"))
+    hosts = materialize(parts.groupBy("host", "domain", "suffix").agg(*[F.sum(F.get("share", F.lit(i))).alias(c) for i, c in enumerate(cols)], F.count("*").alias("rows")), "hosts")
     whole = hosts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in cols]).first()
-    all_mass = np.array([whole[c] for c in cols]) + PSEUDO
-    top = [float(x) for x in all_mass / all_mass.sum()]
-
-    def smoothed(counts: Column, above: Column) -> Column:
-        total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(counts, above, lambda c, p: (F.coalesce(c, F.lit(0.0)) + SMOOTHING * p) / (total + SMOOTHING))
+    every = F.array(*[F.lit(float(whole[c])) for c in cols])
 
     def vector(prefix: str = "") -> Column:
         return F.array(*[F.coalesce(F.col(f"{prefix}{c}"), F.lit(0.0)) for c in cols])
 
-    prior0 = F.array(*[F.lit(x) for x in top])
-    suffix = levels["suffix"].select(F.col("suffix").alias("s_key"), smoothed(vector(), prior0).alias("s_prior"))
-    domain = levels["domain"].select(F.col("domain").alias("d_key"), vector().alias("d_counts"))
-    named = hosts.where("host is not null")
-    table = named.join(suffix, F.col("suffix") == F.col("s_key"), "left").join(domain, F.col("domain") == F.col("d_key"), "left")
-    table = table.select("host", "rows", smoothed(vector(), smoothed(F.col("d_counts"), F.coalesce("s_prior", prior0))).alias("prior"))
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
+
+    def level(name: str) -> DataFrame:
+        found = hosts.where(F.col(name).isNotNull()).groupBy(name).agg(*[F.sum(c).alias(c) for c in cols])
+        return found.select(F.col(name).alias(f"{name}_key"), vector().alias(f"{name}_counts"))
+
+    table = hosts.where("host is not null")
+    for name in ("domain", "suffix"):
+        table = table.join(level(name), F.col(name) == F.col(f"{name}_key"), "left")
+    table = table.select("host", "rows", vector().alias("host_counts"), "domain_counts", "suffix_counts")
     # P(declared | language): a declaration that texts contradict is trusted less
-    said = parts.where("declared is not null").groupBy("declared").agg(*[F.sum(F.get("share", F.lit(i))).alias(c) for i, c in enumerate(cols)])
-    said = said.orderBy(F.desc(F.get(vector(), F.lit(0)) + sum((F.col(c) for c in cols[1:]), F.lit(0.0))), "declared").limit(1000).collect()
-    tags = {r["declared"]: [r[c] for c in cols] for r in said}
-    totals = np.sum(list(tags.values()), axis=0) if tags else np.zeros(n)
-    trust = {d: np.log((np.array(v) + PSEUDO) / (totals + PSEUDO * (len(tags) + 1))) for d, v in tags.items()}
-    told = F.create_map(*[x for d, v in trust.items() for x in (F.lit(d), F.array(*[F.lit(float(y)) for y in v - v.max()]))]) if trust else F.lit(None).cast("map<string,array<double>>")
-    found = lookup(seen, materialize(table, "priors"), ["host"], ["prior"], "rows", "ll")
-    # a host never seen with a text: its suffix is all that is known of it
-    none = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.lit(0.0))
-    log_prior = F.transform(F.coalesce("prior", prior0), lambda p: F.log(p))
-    heard = F.coalesce(F.try_element_at(told, F.col("declared")), none)
-    post = F.zip_with(F.zip_with("ll", heard, lambda a, b: a + b), log_prior, lambda a, b: a + b)
+    said = materialize(parts.where("declared is not null").groupBy("declared").agg(*[F.sum(F.get("share", F.lit(i))).alias(c) for i, c in enumerate(cols)], F.count("*").alias("times")), "declared")
+    sums = said.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in cols], F.count("*").alias("tags")).first()
+    heard = F.array(*[F.log((F.col(c) + PSEUDO) / F.lit(float(sums[c]) + PSEUDO * (sums["tags"] + 1))) for c in cols])
+    told = said.select("declared", "times", F.transform(heard, lambda x: x - F.array_max(heard)).alias("told"))
+    rated = seen.withColumn("own", F.when(informed, share).otherwise(nothing))
+    rated = lookup(rated, materialize(told, "told"), ["declared"], ["told"], "times", "ll")
+    found = lookup(rated, materialize(table, "priors"), ["host"], ["host_counts", "domain_counts", "suffix_counts"], "rows", "ll")
+
+    def others(counts: Column) -> Column:
+        """Counts without the row's own: its text is weighed by its likelihood alone."""
+        return F.zip_with(F.coalesce(counts, F.col("own")), "own", lambda c, x: F.greatest(c - x, F.lit(0.0)))
+
+    def smoothed(counts: Column, above: Column) -> Column:
+        return F.transform(F.arrays_zip(counts.alias("c"), above.alias("p")), lambda x: (x["c"] + SMOOTHING * x["p"]) / (total(counts) + SMOOTHING))
+
+    prior = F.transform(others(every), lambda c: (c + PSEUDO) / (total(others(every)) + PSEUDO * n))
+    for name in ("suffix", "domain", "host"):
+        found = found.withColumn("_prior", prior).withColumn("_counts", others(F.col(f"{name}_counts")))
+        prior = smoothed(F.col("_counts"), F.col("_prior"))
+    log_prior = F.transform(prior, lambda p: F.log(p))
+    post = F.zip_with(F.zip_with("ll", F.coalesce("told", nothing), lambda a, b: a + b), log_prior, lambda a, b: a + b)
     best = F.array_max("post")
     return found.withColumn("post", post).select(
         *keys,
