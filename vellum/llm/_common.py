@@ -4,6 +4,7 @@ no hot key can bend out of shape, row removal by id, and connected components.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -18,21 +19,36 @@ HOT_KEYS = 1000
 BROADCAST_IDS = 500_000
 
 
+#: Folders that this process has made, for `release`.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder's path under the shared checkpoint folder (set here only where it is unset)."""
+    """A new folder's path under the shared checkpoint folder. Where none is set a local run gets one
+    of its own; a cluster has to name one, for its machines share no temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get()
-    return f"{base.rstrip('/')}/vellum-{label}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/vellum-{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables written so far; results that still read them must have been used."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: lineage ends there, and a lost
-    executor costs no more than the tasks it was running."""
+    executor costs no more than the tasks it was running. `release` deletes such tables."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
