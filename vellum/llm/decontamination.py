@@ -3,7 +3,9 @@
 Numbers, names and units become typed placeholders, so a question whose values were exchanged keeps
 its template. Windows of a document's template are hash-joined with the windows of the benchmark's;
 an item counts as found when enough of its windows occur, and, where its template has placeholders,
-when its values map to the document's values consistently. All of it is column expressions.
+when its values map to the document's values consistently. Templates are made only of texts that hold
+an item's anchor word: so many windows have one that no text without one can hold enough of them. All
+of it is column expressions.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ CONSISTENCY = 0.8
 SHIFT = 2
 #: Benchmark windows that may be broadcast; beyond it the join is by shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Anchor words that may be part of a plan; with more, every text is read in full.
+ANCHORS = 100_000
 NUMBER, NAME, UNIT = "\u0002n", "\u0002p", "\u0002u"
 
 #: Words that are units when a number comes before them.
@@ -117,6 +121,24 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_col: str
     return rows.join(total, "item_id")
 
 
+def anchors(marks: DataFrame, coverage: float) -> list[str] | None:
+    """Words such that a text with none of them cannot hold `coverage` of any item's windows: of each
+    item its longest plain words, until more windows have one than may be missing. None if an item has
+    too few such words, or if there are more than ANCHORS."""
+    plain = F.filter("words", lambda x: x["slot"].isNull() & (x["alt"] == x["word"]) & x["word"].rlike(r"^\p{L}+$") & ~x["word"].rlike("[σς]"))
+    rank = F.struct((-F.length("w")).alias("n"), F.col("w"))
+    each = marks.select("item_id", "at", "total", F.explode_outer(F.transform(plain, lambda x: x["word"])).alias("w")).distinct()
+    best = each.groupBy("item_id", "at").agg(F.min(F.when(F.col("w").isNotNull(), rank)).alias("r"), F.max("total").alias("total"))
+    spare = F.floor(F.max("total") * (1 - coverage) + 1e-9).cast("int")
+    need = best.groupBy("item_id").agg(F.get(F.array_sort(F.collect_list("r")), spare).alias("most"))
+    need = materialize(need, "anchors")
+    if not need.where("most is null").isEmpty():
+        return None
+    found = each.where("w is not null").join(need, "item_id").where(rank <= F.col("most")).select("w").distinct()
+    words = [r["w"] for r in found.limit(ANCHORS + 1).collect()]
+    return words if len(words) <= ANCHORS else None
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage): the items found in each document.
 
@@ -127,7 +149,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     places = marks.select("h", "item_id", "at", "total")
     places = F.broadcast(places) if marks.count() <= BROADCAST_WINDOWS else places
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    rows = texts.select("doc_id", F.explode(window_hashes(F.col("text"), window)).alias("h"))
+    words = anchors(marks, coverage)
+    if words is not None:
+        # a plain word of a template is a whole run of letters of the text in lower case
+        able = texts.where(F.exists(F.split(F.lower("text"), r"\P{L}+"), lambda w: w.isin(words))) if words else texts.limit(0)
+    else:
+        able = texts
+    rows = able.select("doc_id", F.explode(window_hashes(F.col("text"), window)).alias("h"))
     found = rows.join(places, "h").groupBy("doc_id", "item_id").agg((F.count_distinct("at") / F.max("total")).alias("coverage"))
     found = materialize(found.where(F.col("coverage") >= coverage), "found")
     if marks.where("slotted").isEmpty():
