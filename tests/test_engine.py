@@ -127,7 +127,7 @@ def test_scalars(spark):
     assert one(spark, T.find_links(F.lit("see https://a.b/c?d=1. or me@x.org, README.md"))) == ["https://a.b/c?d=1", "me@x.org"]
     assert [tuple(x) for x in one(spark, T.wiki_links(F.lit("[[ A B ]] [[x\\|y | /u ]] [[ ]]")))] == [("A B", "a-b"), ("x|y", "/u")]
     assert one(spark, T.inline_references(F.lit("#a_b- @no x#y (#Çd) #4"), "#")) == ["a_b", "çd"]
-    assert one(spark, T.typography(F.lit("a... b -> c <- d => e"))) == "a… b → c ← d ⇒ e"
+    assert one(spark, T.typography(F.lit("a... b --> c <-- d ==> e -- f -> ---> <=="))) == "a… b → c ← d ⇒ e — f -> ---> ⇐"
     assert one(spark, T.emoji(F.lit(":rocket: :) x:)"))) == "🚀 🙂 x:)"
     assert [tuple(x) for x in one(spark, T.extract_imports(F.lit('% import a from "./a"\ntext\n%import b from \'pkg\';')))] == [("a", "./a"), ("b", "pkg")]
     assert [one(spark, T.context_value(F.lit(x))) for x in ('{"a":1}', "1", "a b", 'q"')] == ['{"a":1}', "1", '"a b"', '"q\\""']
@@ -220,7 +220,7 @@ def test_sanitize(spark):
     from vellum.schema import NODE_SCHEMA
 
     clean = markup.sanitize(spark.createDataFrame(rows, f"doc_index long, {NODE_SCHEMA}"))
-    assert markup.to_html(clean).first().html == '<a data-k="1">hi</a>keep'
+    assert markup.to_html(clean).first().html == '<a data-k="1">hi</a><div>keep</div>'
 
 
 def png(w, h):

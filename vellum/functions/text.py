@@ -133,10 +133,11 @@ def wiki_links(text: Column) -> Column:
 
 
 def typography(text: Column) -> Column:
-    """Ellipsis, em dash and arrows as single characters."""
-    for mark, char in ((r"(?<!\.)\.\.\.(?!\.)", "…"), (r"<=>", "⇔"), (r"<->|<-->", "↔"), (r"(?<![-<])-{1,2}>", "→"), (r"<-{1,2}(?![->])", "←"), (r"(?<![=<])=>", "⇒"), (r"(?<=\S ?)(?<!-)--(?!-)(?= ?\S)", "—")):
-        text = F.regexp_replace(text, mark, char)
-    return text
+    """Ellipsis, em dash and arrows as single characters; an arrow stands against none of the
+    characters that arrows are drawn with."""
+    for mark, char in (("<-->", "↔"), ("<==>", "⇔"), ("-->", "→"), ("<--", "←"), ("==>", "⇒"), ("<==", "⇐")):
+        text = F.regexp_replace(text, rf"(?<![-=<>]){mark}(?![-=<>])", char)
+    return F.regexp_replace(F.regexp_replace(text, r"(?<!-)--(?!-)", "—"), r"(?<!\.)\.\.\.(?!\.)", "…")
 
 
 #: Shortcodes and emoticons.

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import EMOJI, EMOTICONS
+
 #: Markers and the elements they stand for; the last is literal.
 MARKERS = {"!!": "strong", "**": "strong", "//": "em", "__": "u", "~~": "del", "??": "mark", "^^": "sup", ",,": "sub", "``": "code"}
 VOID = {"area", "br", "hr", "img", "col", "wbr", "input", "link", "meta", "source"}
@@ -24,7 +26,29 @@ TAGS = """address article aside blockquote br details div figcaption figure foot
 h1 h2 h3 h4 h5 h6 dd dl dt li ol ul caption col colgroup table tbody td tfoot th thead tr a abbr b bdi bdo cite code data dfn del em
 i ins kbd mark q rp rt ruby s samp small span strong sub sup time u var img picture""".split()
 STRIP = "applet base body canvas embed frame frameset head html iframe link math meta noscript object portal script style svg template title".split()
-ATTRIBUTES = "class dir hidden id lang role style title translate href name rel target cite align span width value datetime open alt decoding height loading src reversed start type summary colspan headers rowspan valign abbr scope".split()
+ATTRIBUTES = {
+    "*": "class dir hidden id lang role style title translate",
+    "a": "href name rel target",
+    "blockquote": "cite",
+    "col": "align span width",
+    "colgroup": "align span width",
+    "data": "value",
+    "del": "cite datetime",
+    "details": "open",
+    "img": "alt decoding height loading src width",
+    "ins": "cite datetime",
+    "li": "value",
+    "ol": "reversed start type",
+    "q": "cite",
+    "table": "align summary",
+    "tbody": "align",
+    "td": "align colspan headers rowspan valign",
+    "tfoot": "align",
+    "th": "abbr align colspan headers rowspan scope valign",
+    "thead": "align",
+    "time": "datetime",
+    "tr": "align",
+}
 SCHEMES = {"href": ["ftp", "http", "https", "irc", "ircs", "mailto", "sms", "tel", "xmpp"], "src": ["http", "https"], "cite": ["http", "https"]}
 #: Nested blocks.
 MAX_DEPTH = 256
@@ -78,6 +102,32 @@ class Tree:
         return found or None
 
 
+#: Arrows, longest first, and the characters that they are drawn with.
+ARROWS = {"<-->": "↔", "<==>": "⇔", "-->": "→", "<--": "←", "==>": "⇒", "<==": "⇐"}
+DRAWN = set("".join(ARROWS))
+SHORTCODE = re.compile(r":([a-zA-Z0-9_+-]+):")
+
+
+def typed(text: str, at: int) -> tuple[str, int] | None:
+    """(character, length) of the arrow, dash, dots or emoji that begin at a place of running text."""
+    c, before = text[at], text[at - 1] if at else ""
+    if c in DRAWN and before not in DRAWN:
+        for arrow, char in ARROWS.items():
+            if text.startswith(arrow, at):
+                return None if text[at + len(arrow) : at + len(arrow) + 1] in DRAWN else (char, len(arrow))
+    if text.startswith("--", at) and before != "-" and text[at + 2 : at + 3] != "-":
+        return "—", 2
+    if text.startswith("...", at) and before != "." and text[at + 3 : at + 4] != ".":
+        return "…", 3
+    if c == ":" and (m := SHORTCODE.match(text, at)) and m[1].lower() in EMOJI:
+        return EMOJI[m[1].lower()], m.end() - at
+    if c in ":;<" and not before.isalnum():
+        for size in (3, 2):
+            if (found := EMOTICONS.get(text[at : at + size])) and not text[at + size : at + size + 1].isalnum():
+                return found, size
+    return None
+
+
 def inline(tree: Tree, parent: int, depth: int, text: str, line: int) -> None:
     """Markers, links, references and plain text of a run of text."""
     plain, at = [], 0
@@ -122,6 +172,10 @@ def inline(tree: Tree, parent: int, depth: int, text: str, line: int) -> None:
             tree.add(node, depth + 1, "text", value=found[1], line=line)
             at = m.end()
             continue
+        if text[at] in "-=<.:;" and (mark := typed(text, at)):
+            plain.append(mark[0])
+            at += mark[1]
+            continue
         plain.append(text[at])
         at += 1
     flush()
@@ -243,32 +297,59 @@ def element(tree: Tree, parent: int, depth: int, lines: list[tuple[int, str]], a
 
 
 def items(tree: Tree, parent: int, depth: int, lines: list[tuple[int, str]], at: int) -> int:
-    """A list whose markers stand in one column; what is indented under an item is the item's."""
-    first = ITEM.match(lines[at][1].strip())
-    indent, ordered = columns(lines[at][1]), first[1][0].isdigit()
-    start = int(first[1][:-1]) if ordered else 1
-    found = []
-    while at < len(lines) and columns(lines[at][1]) == indent and not RULE.match(lines[at][1].strip()) and (m := ITEM.match(lines[at][1].strip())) and m[1][0].isdigit() == ordered:
-        end = deeper(lines, at + 1, indent + 1)
-        found.append((lines[at], m[2], lines[at + 1 : end]))
-        at = end
-        after = next((i for i in range(at, len(lines)) if lines[i][1].strip()), at)
-        if after < len(lines) and columns(lines[after][1]) == indent and ITEM.match(lines[after][1].strip()):
-            at = after
-    tasks = any(TASK.match(text) for _, text, _ in found)
+    """The end of the list that begins at a line. Lines that are no items go on an item's text; a blank
+    line between items makes the whole list loose: each item's text is a paragraph."""
+    found, loose, blank, end = [], False, False, at
+    for i in range(at, len(lines)):
+        n, line = lines[i]
+        bare = line.strip()
+        if not bare:
+            blank = True
+            continue
+        if HEADING.match(bare) or RULE.match(bare):
+            break
+        if m := ITEM.match(bare):
+            loose |= blank
+            found.append({"indent": columns(line), "ordered": m[1][0].isdigit(), "start": m[1][:-1], "text": [m[2]], "line": n, "source": line})
+        elif blank:
+            break
+        else:
+            found[-1]["text"].append(bare)
+        blank, end = False, i + 1
+    roots: list[dict] = []
+    open_lists: list[dict] = []
+    for item in found:
+        while open_lists and item["indent"] < open_lists[-1]["indent"]:
+            open_lists.pop()
+        if open_lists and item["indent"] == open_lists[-1]["indent"] and item["ordered"] != open_lists[-1]["ordered"]:
+            open_lists.pop()
+        if not open_lists or item["indent"] > open_lists[-1]["indent"]:
+            made = {"indent": item["indent"], "ordered": item["ordered"], "items": []}
+            (open_lists[-1]["items"][-1]["lists"] if open_lists else roots).append(made)
+            open_lists.append(made)
+        open_lists[-1]["items"].append(item | {"lists": []})
+    for made in roots:
+        one_list(tree, parent, depth, made, loose)
+    return end
+
+
+def one_list(tree: Tree, parent: int, depth: int, made: dict, loose: bool) -> None:
+    entries = made["items"]
+    tasks = any(TASK.match(e["text"][0]) for e in entries)
+    start = int(entries[0]["start"]) if made["ordered"] else 1
     props = ({"class": "contains-task-list"} if tasks else {}) | ({"start": str(start)} if start != 1 else {})
-    node = tree.add(parent, depth, "element", "ol" if ordered else "ul", props, line=found[0][0][0])
-    for (n, line), text, inner in found:
+    node = tree.add(parent, depth, "element", "ol" if made["ordered"] else "ul", props, line=entries[0]["line"])
+    for e in entries:
+        n, text = e["line"], " ".join(e["text"])
         task = TASK.match(text)
-        li = tree.add(node, depth + 1, "element", "li", {"class": "task-list-item"} if task else {}, f"{task[1]}:{line.index('[') + 2}" if task else None, line=n)
+        li = tree.add(node, depth + 1, "element", "li", {"class": "task-list-item"} if task else {}, f"{task[1]}:{e['source'].index('[') + 2}" if task else None, line=n)
+        to, deep = (tree.add(li, depth + 2, "element", "p", line=n), depth + 3) if loose else (li, depth + 2)
         if task:
-            tree.add(li, depth + 2, "element", "input", {"type": "checkbox", **({"checked": ""} if task[1] == "x" else {}), "disabled": ""}, line=n)
-            text = " " + task[2]
-        inline(tree, li, depth + 2, text, n)
-        if any(x.strip() for _, x in inner):
-            strip = min(columns(x) for _, x in inner if x.strip())
-            blocks(tree, li, depth + 2, [(k, cut(x, strip)) for k, x in inner])
-    return at
+            tree.add(to, deep, "element", "input", {"type": "checkbox", **({"checked": ""} if task[1] == "x" else {}), "disabled": ""}, line=n)
+            text = " " + task[2] if task[2] else ""
+        inline(tree, to, deep, text, n)
+        for inner in e["lists"]:
+            one_list(tree, li, depth + 2, inner, loose)
 
 
 def cells(line: str) -> list[str]:
@@ -358,6 +439,35 @@ def parse(text: str) -> list[list]:
     return tree.rows
 
 
+def parse_stream(text: str, wrapper: str | None = "article") -> list[list]:
+    """All documents of a stream (parted by `---` lines) in one tree, each in a wrapper or bare. Their
+    headings share one run of ids; notes past the first document are numbered with its place before."""
+    whole = Tree()
+    root = whole.add(-1, 0, "root")
+    parts, first = [], 1
+    for part in re.split(r"(?m)^---[ \t]*$\n?", text or ""):
+        if part.strip():
+            parts.append((first, part))
+        first += part.count("\n") + (0 if part.endswith("\n") or not part else 1)
+    for k, (first, part) in enumerate(parts or [(1, "")]):
+        tree = Tree()
+        tree.ids = whole.ids
+        inner = tree.add(-1, 0, "root")
+        matter = re.match(r"\s*?(?:^|(?<=\n))[ \t]*\+\+\+[ \t]*\n(?:[\s\S]*?\n)??\+\+\+[ \t]*(?:\n|$)", part)
+        body, skipped = (part[matter.end() :], part[: matter.end()].count("\n")) if matter else (part, 0)
+        blocks(tree, inner, 1, take_notes(tree, list(enumerate(body.split("\n"), first + skipped))))
+        if tree.cited:
+            foot(tree, inner)
+        at = whole.add(root, 1, "element", wrapper, line=first) if wrapper else root
+        moved = {inner: at}
+        deeper_by = 1 if wrapper else 0
+        for n, parent, depth, _, kind, tag, props, value, line in tree.rows[1:]:
+            if k and (kind == "element"):
+                props = {a: re.sub(r"user-content-(fn|fnref)-", rf"user-content-\1-{k}-", v) for a, v in props.items()}
+            moved[n] = whole.add(moved[parent], depth + deeper_by, kind, tag, props, value, line)
+    return whole.rows
+
+
 def h(selector: str, props: dict | None = None, *children) -> dict:
     """A hand-built node: `tag.class#id`, attributes, and children (texts, nodes or lists of them;
     None and False are left out)."""
@@ -471,15 +581,18 @@ def visit(table: DataFrame, test: str) -> DataFrame:
 
 def sanitize(table: DataFrame) -> DataFrame:
     """The table without what is not on the lists: dangerous elements go with their subtrees, unknown
-    ones leave their children behind, attributes and addresses are checked one by one."""
+    ones become `div`, attributes are checked by the element as it was written, addresses by scheme."""
     from ..functions.text import allowed_protocol
 
     gone = spans(table).where(F.lower("tag").isin(STRIP)).select(F.col("doc_index").alias("d"), F.col("node_id").alias("a"), F.col("stop").alias("z"))
     kept = table.join(gone, (F.col("doc_index") == F.col("d")) & (F.col("node_id") >= F.col("a")) & (F.col("node_id") < F.col("z")), "left_anti")
-    unknown = F.col("tag").isNotNull() & ~F.lower("tag").isin(TAGS)
-    known = kept.withColumns({"type": F.when(unknown, "fragment").otherwise(F.col("type")), "tag": F.when(~unknown, F.col("tag"))})
-    ok = lambda k, v: (F.lower(k).isin(ATTRIBUTES) | F.lower(k).rlike(r"^(aria-[a-z-]+|data-[\w-]+)$")) & F.when(k == "href", allowed_protocol(v, SCHEMES["href"])).when(k.isin("src", "cite"), allowed_protocol(v, SCHEMES["src"])).otherwise(True)
-    return known.withColumn("props", F.map_filter("props", ok))
+    tag = F.lower("tag")
+    allowed = F.create_map(*[x for k, names in ATTRIBUTES.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names.split()]))])
+    own = F.concat(F.try_element_at(allowed, F.lit("*")), F.coalesce(F.try_element_at(allowed, F.coalesce(tag, F.lit(""))), F.array().cast("array<string>")))
+    named = F.transform_keys("props", lambda k, v: F.lower(k))
+    known = kept.withColumns({"_own": own, "props": F.when(F.size("props") > 0, named), "tag": F.when(tag.isin(TAGS) | F.col("tag").isNull(), F.col("tag")).otherwise("div")})
+    ok = lambda k, v: (F.array_contains("_own", k) | k.rlike(r"^(aria-[a-z-]+|data-[\w-]+)$")) & F.when(k == "href", allowed_protocol(v, SCHEMES["href"])).when(k.isin("src", "cite"), allowed_protocol(v, SCHEMES["src"])).otherwise(True)
+    return known.withColumn("props", F.coalesce(F.map_filter("props", ok), F.create_map().cast("map<string,string>"))).drop("_own")
 
 
 def write_html(rows: list[dict]) -> str:

@@ -602,12 +602,12 @@ def markup_tasks(spark, sf_dir):
     return markup.tasks(markup.nodes(markup_docs(spark, sf_dir)))
 
 
-@query("""SELECT s_suppkey AS doc_index, '<h1 id="intro">Intro</h1><p>Hello <strong>' || s_name || '</strong> see <a href="/p/' || CAST(s_suppkey AS VARCHAR) || '">Other Page</a> and <a class="tag" href="/tags/tag">#tag</a>.</p><h2 id="part-' || CAST(s_nationkey AS VARCHAR) || '">Part ' || CAST(s_nationkey AS VARCHAR) || '</h2><ul class="contains-task-list"><li class="task-list-item"><input disabled type="checkbox"> open</li><li class="task-list-item"><input checked disabled type="checkbox"> done<p>more</p></li></ul><h2 id="intro-1">Intro</h2><pre><code class="language-js">= no heading' || chr(10) || '</code></pre><table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>' AS html FROM supplier""")
+@query("""SELECT s_suppkey AS doc_index, '<h1 id="intro">Intro</h1><p>Hello <strong>' || s_name || '</strong> see <a href="/p/' || CAST(s_suppkey AS VARCHAR) || '">Other Page</a> and <a class="tag" href="/tags/tag">#tag</a>.</p><h2 id="part-' || CAST(s_nationkey AS VARCHAR) || '">Part ' || CAST(s_nationkey AS VARCHAR) || '</h2><ul class="contains-task-list"><li class="task-list-item"><input disabled type="checkbox"> open</li><li class="task-list-item"><input checked disabled type="checkbox"> done more</li></ul><h2 id="intro-1">Intro</h2><pre><code class="language-js">= no heading' || chr(10) || '</code></pre><table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>' AS html FROM supplier""")
 def markup_html(spark, sf_dir):
     t = markup.nodes(markup_docs(spark, sf_dir))
     return markup.to_html(t.withColumn("props", F.map_from_entries(F.array_sort(F.map_entries("props")))))
 
 
-@query("SELECT s_suppkey AS doc_index, 'IntroHello ' || s_name || ' see Other Page and #tag.Part ' || CAST(s_nationkey AS VARCHAR) || ' open donemoreIntro= no heading' || chr(10) || 'ab12' AS text FROM supplier")
+@query("SELECT s_suppkey AS doc_index, 'IntroHello ' || s_name || ' see Other Page and #tag.Part ' || CAST(s_nationkey AS VARCHAR) || ' open done moreIntro= no heading' || chr(10) || 'ab12' AS text FROM supplier")
 def markup_text(spark, sf_dir):
     return markup.text_of(markup.nodes(markup_docs(spark, sf_dir)))
