@@ -312,3 +312,18 @@ def test_fresh(spark):
     m = spark.createDataFrame([(i, "a", d) for i, d in enumerate("12213")], "seq long, name string, data_json string")
     sent = spark.range(1).select(F.lit("a").alias("name"), F.xxhash64(F.lit("1")).alias("last_hash"))
     assert [r.seq for r in bus.fresh(m, sent).orderBy("seq").collect()] == [1, 3, 4]
+
+
+def test_numbering_of_repeated_and_sparse_sources(spark, monkeypatch):
+    from vellum.sources import ingest
+
+    rows = [(0, "a\n---\nb"), (0, "c"), (0, "c"), (1, "d"), (10**15, "e\n---\nf\n---\ng"), (10**16, "h"), (None, "first")]
+    def numbers(key, value):  # noqa: E306
+        docs = spark.createDataFrame([(value(i), t, None) for i, t in rows], f"{key}, text string, meta_json string").repartition(3)
+        return [(r.doc_index, r.content) for r in ingest.parse_documents(docs, [key.split()[0]]).orderBy("doc_index").collect()]
+
+    whole = numbers("source_id long", lambda i: i)
+    assert [i for i, _ in whole] == list(range(10)) and whole[0][1] == "first" and sorted(c for _, c in whole[1:5]) == ["a", "b", "c", "c"] and [c for _, c in whole[5:]] == list("defgh")
+    monkeypatch.setattr(ingest, "RANGE", 2)
+    assert numbers("source_id long", lambda i: i) == whole
+    assert numbers("path string", lambda i: None if i is None else f"a/very/long/common/folder/{i:020d}") == whole

@@ -21,7 +21,7 @@ class DocSet:
     """docs: a documents table (sources.ingest). Every answer is in document order."""
 
     def __init__(self, docs: DataFrame, on_query: Callable[[dict | None], None] | None = None):
-        self.docs, self.on_query = docs, on_query
+        self.docs, self.on_query, self.hot = docs, on_query, HOT
 
     @classmethod
     def from_texts(cls, spark: SparkSession, texts: Sequence[str | dict], **options) -> DocSet:
@@ -38,9 +38,18 @@ class DocSet:
 
     def where(self, query: dict | None) -> DataFrame:
         """The matching documents, without an order."""
-        columns = {c: (F.col(c), kind) for c, kind in HOT.items() if c in self.docs.columns} | {"_id": (F.col("doc_index"), "bigint")}
+        columns = {c: (F.col(c), kind) for c, kind in self.hot.items() if c in self.docs.columns} | {"_id": (F.col("doc_index"), "bigint")}
         return self.docs.where(compile_filter(query, F.parse_json("data_json"), columns))
 
+    def indexed(self, folder: str, fields: dict[str, str], order: str = "path") -> DocSet:
+        """The set as a table with a column for each of fields (name: type), written once, sorted by one
+        of them: filters on those are plain predicates, which the scan skips files and row groups by."""
+        made = self.docs.withColumns({f: self.field(f, kind) for f, kind in fields.items() if f not in self.docs.columns})
+        made.repartitionByRange(order).sortWithinPartitions(order).write.parquet(folder)
+        found = DocSet(self.docs.sparkSession.read.parquet(folder), self.on_query)
+        found.hot = HOT | fields
+        return found
+
     def find(self, query: dict | None = None) -> DataFrame:
         """All matches in document order: doc_index, data_json and the documents' other columns."""
         if self.on_query:

@@ -1,17 +1,62 @@
 """What documents do with the rows a query gave them - joins, groups, neighbours, pages - as plans.
 
 Orders are total (ties fall back to a key given by the caller), so results do not depend on how rows
-were partitioned. None of these gathers a table in one task.
+were partitioned. What runs along an order does so in two levels, inside ranges of it and then over
+the ranges, so a key that holds most rows is no single task's work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.ingest import range_of
+
+
+def _ranged(df: DataFrame, order: str) -> DataFrame | None:
+    """df with the range of its order column, or None where one range holds all."""
+    place = range_of(df, order)
+    return None if place is None else df.withColumn("_range", place)
+
+
+def _beside(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df left-joined to other (keys, _range and more), nulls equal."""
+    named = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), *[c for c in other.columns if c not in (*keys, "_range")])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_range") == F.col("_r"))
+    return df.join(named, match, "left").drop("_r", *[f"_k_{k}" for k in keys])
+
+
+def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, own: bool = True) -> DataFrame:
+    """df with the sum of value over the rows before each in its key, and its own if asked."""
+    frame = (W.unboundedPreceding, 0 if own else -1)
+    ranged = _ranged(df, order[0])
+    if ranged is None:
+        return df.withColumn(name, F.coalesce(F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)), F.lit(0)))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = _beside(ranged, sums.select(*keys, "_range", before.alias("_before")), keys)
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*frame)), F.lit(0))
+    return placed.withColumn(name, F.col("_before") + inside).drop("_range", "_before")
+
+
+def beside(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, step: int) -> DataFrame:
+    """df with the value of the row before (step -1) or after (1) in the key, null at its end."""
+    ranged = _ranged(df, order[0])
+    near = F.lag if step < 0 else F.lead
+    if ranged is None:
+        return df.withColumn(name, near(value).over(W.partitionBy(*keys).orderBy(*order)))
+    key = F.struct(*order)
+    edge = F.max_by(F.struct(value.alias("v")), key) if step < 0 else F.min_by(F.struct(value.alias("v")), key)
+    ends = ranged.groupBy(*keys, "_range").agg(edge.alias("_edge"))
+    ends = ends.select(*keys, "_range", near("_edge").over(W.partitionBy(*keys).orderBy("_range")).alias("_far"))
+    inside = near(F.struct(value.alias("v"))).over(W.partitionBy(*keys, "_range").orderBy(*order))
+    return _beside(ranged, ends, keys).withColumn(name, F.coalesce(inside, F.col("_far"))["v"]).drop("_range", "_far")
+
+
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key, by one grouped minimum."""
     rest = [c for c in df.columns if c not in keys]
@@ -23,12 +68,28 @@ def lookup_first(left: DataFrame, right: DataFrame, key: str, order: Sequence[st
     return left.join(first_per(right, [key], order), key, how)
 
 
+def tag_classes(df: DataFrame, key: str, tags: str) -> DataFrame:
+    """(key, class, tags): documents with the same tags are a class, named by its smallest key."""
+    each = df.select(F.col(key), F.array_sort(F.array_distinct(tags)).alias("tags"))
+    named = each.groupBy("tags").agg(F.min(key).alias("class"))
+    return each.join(named, "tags").select(key, "class", "tags")
+
+
+def related_classes(df: DataFrame, key: str, tags: str) -> DataFrame:
+    """(class, other, shared, members): classes that share tags, how many, and how many documents the
+    other has; the class itself with all its tags. Documents meet as classes, so a tag that most of them
+    have gives the pairs of its classes, not of its documents."""
+    classes = tag_classes(df, key, tags).groupBy("class").agg(F.any_value("tags").alias("tags"), F.count("*").alias("members"))
+    each = classes.select("class", F.explode("tags").alias("tag"), "members")
+    other = each.select(F.col("class").alias("other"), "tag", "members")
+    return each.drop("members").join(other, "tag").groupBy("class", "other").agg(F.count("*").alias("shared"), F.any_value("members").alias("members"))
+
+
 def related(df: DataFrame, key: str, tags: str) -> DataFrame:
-    """(key, other, shared): pairs of different rows that share tags, through an equi-join on the
-    exploded tags; pairs of one tag only meet by it, no theta join."""
-    each = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(tags)).alias("tag"))
-    other = each.select(F.col("k").alias("o"), "tag")
-    return each.join(other, "tag").where("k <> o").groupBy(F.col("k").alias(key), F.col("o").alias("other")).agg(F.count("*").alias("shared"))
+    """(key, class, links): of each document its class and how many other documents share a tag with
+    it; which those are is told by `related_classes` and the classes' members."""
+    links = related_classes(df, key, tags).groupBy("class").agg((F.sum("members") - 1).alias("links"))
+    return tag_classes(df, key, tags).join(links, "class", "left").select(key, "class", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def tag_index(df: DataFrame, tags: str) -> DataFrame:
@@ -44,24 +105,24 @@ def list_per(df: DataFrame, keys: Sequence[str], item: str, order: Sequence[str]
 
 def neighbours(df: DataFrame, section: str, order: Sequence[str], item: str) -> DataFrame:
     """df with prev and next: the item before and after in its section."""
-    w = W.partitionBy(section).orderBy(*order)
-    return df.withColumns({"prev": F.lag(item).over(w), "next": F.lead(item).over(w)})
+    return beside(beside(df, [section], order, F.col(item), "prev", -1), [section], order, F.col(item), "next", 1)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "running") -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    return prefix_sum(df, keys, order, F.col(value), name)
 
 
 def paginate(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
     """df with page and pages, both from 1, within each key."""
-    w = W.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(*order))
-    return df.withColumns({"page": F.ceil(place / size).cast("int"), "pages": F.ceil(F.count("*").over(w) / size).cast("int")})
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_all")).withColumn("_range", F.lit(0))
+    placed = prefix_sum(df, keys, order, F.lit(1), "_place")
+    whole = _beside(placed.withColumn("_range", F.lit(0)), sizes, keys)
+    return whole.withColumns({"page": F.ceil(F.col("_place") / size).cast("int"), "pages": F.ceil(F.col("_all") / size).cast("int")}).drop("_place", "_all", "_range")
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """df with position, from 0."""
-    return df.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    return prefix_sum(df, keys, order, F.lit(1), "position", False).withColumn("position", F.col("position").cast("int"))
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -110,3 +171,31 @@ def search(index: DataFrame, query: str, words: str = "words", title: str = "tit
     asked = tokenize(F.lit(query))
     score = F.size(F.array_intersect(words, asked)) + F.contains(F.lower(title), F.lit(query.lower().strip())).cast("int")
     return index.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), key).limit(top)
+
+
+def search_texts(docs: DataFrame, query: str, text: str = "text", title: str = "title", key: str = "url", top: int = 8) -> DataFrame:
+    """`search` over texts that have no index: asked words are looked for where no letter or digit is
+    beside them, which is when they are words of an index."""
+    from ..functions.text import tokenize
+
+    asked = docs.sparkSession.range(1).select(tokenize(F.lit(query))).first()[0]
+    low = F.lower(text)
+    found = [low.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])").cast("int") for w in asked]
+    score = reduce(lambda a, b: a + b, found, F.contains(F.lower(title), F.lit(query.lower().strip())).cast("int"))
+    return docs.withColumn("score", F.coalesce(score, F.lit(0))).where("score > 0").orderBy(F.desc("score"), key).limit(top)
+
+
+def inverted_index(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(word, key): a row for each word of each document, to be written sorted by word."""
+    from ..functions.text import tokenize
+
+    return docs.select(F.explode(tokenize(F.col(text))).alias("word"), F.col(key))
+
+
+def search_postings(postings: DataFrame, query: str, key: str, top: int = 8) -> DataFrame:
+    """(key, score): the `top` documents by shared words; only the asked words' rows are read."""
+    from ..functions.text import tokenize
+
+    asked = postings.sparkSession.range(1).select(tokenize(F.lit(query))).first()[0]
+    hits = postings.where(F.col("word").isin(asked)).groupBy(key).agg(F.count("*").cast("int").alias("score"))
+    return hits.orderBy(F.desc("score"), key).limit(top)

@@ -5,14 +5,12 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .markup import NODE_FIELDS, VOID, Tree, cells, delimiter
+from . import markup
+from .markup import VOID, Tree, cells, delimiter
 
 ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
@@ -272,10 +270,11 @@ class Builder:
                     out.append(text[at + 1] if text[at + 1] in PUNCTUATION else text[at : at + 2])
                 at += 2
             elif c == "\n":
-                broken = out and isinstance(out[-1], str) and out[-1].endswith("  ")
-                if out and isinstance(out[-1], str):
-                    out[-1] = out[-1].rstrip(" ")
-                out += [("br", {}, []), "\n"] if broken else ["\n"]
+                spaces = 0
+                while out and out[-1] == " ":
+                    out.pop()
+                    spaces += 1
+                out += [("br", {}, []), "\n"] if spaces > 1 else ["\n"]
                 at += 1
             elif c == "`":
                 run = re.match("`+", text[at:])[0]
@@ -415,16 +414,6 @@ def parse(text: str) -> list[list]:
     return Builder(text).tree.rows
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = parse(text)
-            columns = [pa.array([r[i] if i != 6 else list(r[i].items()) for r in rows], kind) for i, (_, kind) in enumerate(NODE_FIELDS)]
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), *columns], ["doc_index", *(n for n, _ in NODE_FIELDS)])
-
-
 def nodes(docs: DataFrame, key: str = "doc_index", text: str = "body") -> DataFrame:
-    """The node table of Markdown texts: doc_index and NODE_SCHEMA."""
-    from ..schema import NODE_SCHEMA
-
-    return docs.select(F.col(key).cast("long").alias("doc_index"), text).mapInArrow(_nodes, f"doc_index long, {NODE_SCHEMA}")
+    """The node table of Markdown texts."""
+    return markup.nodes(docs, key, text, parse)

@@ -511,19 +511,23 @@ def process(table: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataF
 NODE_FIELDS = [("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("type", pa.string()), ("tag", pa.string()), ("props", pa.map_(pa.string(), pa.string())), ("value", pa.string()), ("line", pa.int32())]
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = parse(text)
-            columns = [pa.array([r[i] if i != 6 else list(r[i].items()) for r in rows], kind) for i, (_, kind) in enumerate(NODE_FIELDS)]
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), *columns], ["doc_index", *(n for n, _ in NODE_FIELDS)])
+def _nodes(parser: Callable[[str], list[list]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = parser(text)
+                columns = [pa.array([r[i] if i != 6 else list(r[i].items()) for r in rows], kind) for i, (_, kind) in enumerate(NODE_FIELDS)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), *columns], ["doc_index", *(n for n, _ in NODE_FIELDS)])
+
+    return run
 
 
-def nodes(docs: DataFrame, key: str = "doc_index", text: str = "content") -> DataFrame:
-    """The node table of documents: doc_index and NODE_SCHEMA."""
+def nodes(docs: DataFrame, key: str = "doc_index", text: str = "content", parser: Callable[[str], list[list]] = parse) -> DataFrame:
+    """The node table of documents: doc_index and NODE_SCHEMA. parser: this language's, or that of its
+    streams (`parse_stream`) or of Markdown."""
     from ..schema import NODE_SCHEMA
 
-    return docs.select(F.col(key).cast("long").alias("doc_index"), text).mapInArrow(_nodes, f"doc_index long, {NODE_SCHEMA}")
+    return docs.select(F.col(key).cast("long").alias("doc_index"), text).mapInArrow(_nodes(parser), f"doc_index long, {NODE_SCHEMA}")
 
 
 def _stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ class TemplateError(ValueError):
 
 #: Operators by level, and what SQL calls them.
 LEVELS = {"??": 1, "||": 2, "&&": 3, "==": 4, "!=": 4, "===": 4, "!==": 4, "<": 5, ">": 5, "<=": 5, ">=": 5, "+": 6, "-": 6, "*": 7, "/": 7, "%": 7}
-SQL = {"||": "or", "&&": "and", "==": "=", "===": "=", "!=": "<>", "!==": "<>"}
+SQL = {"||": "or", "&&": "and", "==": "<=>", "===": "<=>"}
 #: Methods that have a column form.
 METHODS = {"toUpperCase": "upper({})", "toLowerCase": "lower({})", "trim": "trim({})", "includes": "contains({}, {})", "startsWith": "startswith({}, {})", "endsWith": "endswith({}, {})", "join": "array_join({}, {})"}
 
@@ -80,6 +80,8 @@ class Expression:
             right = self.binary(LEVELS[op])
             if op == "??":
                 left = f"coalesce({left}, {right})"
+            elif op in ("!=", "!=="):
+                left = f"(not ({left} <=> {right}))"
             elif op == "+" and ("'" in (left[:1], right[:1]) or left.startswith("concat(")):
                 left = f"concat({left}, {right})"
             else:

@@ -38,6 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a local run without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="vellum-")
+    return base.rstrip("/")
+
+
 def lit_lines(*parts) -> F.Column:
     """Parts (columns or texts) in one text."""
     return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
@@ -360,13 +370,19 @@ def lookup_layout(spark, sf_dir):
     return R.lookup_first(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), twice, "o_custkey", ["n"]).select("o_orderkey", "layout")
 
 
-TAGS = "SELECT p_partkey, unnest(list_distinct(list_transform(string_split(p_name, ' '), lambda x: p_brand || p_type || CAST(p_size AS VARCHAR) || x))) AS t FROM part"
+CLASSES = "SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS ts FROM part"
+PAIRS = f"""WITH c AS (SELECT ts, min(p_partkey) AS class, count(*) AS members FROM ({CLASSES}) GROUP BY ts),
+p AS (SELECT a.class, b.class AS other, len(list_intersect(a.ts, b.ts)) AS shared, b.members FROM c a JOIN c b ON list_has_any(a.ts, b.ts))"""
 
 
-@query(f"SELECT a.p_partkey, b.p_partkey AS other, count(*) AS shared FROM ({TAGS}) a JOIN ({TAGS}) b ON a.t = b.t AND a.p_partkey <> b.p_partkey GROUP BY 1, 2")
+@query(f"{PAIRS} SELECT d.p_partkey, c.class, CAST(l.links AS BIGINT) AS links FROM ({CLASSES}) d JOIN c ON d.ts = c.ts JOIN (SELECT class, sum(members) - 1 AS links FROM p GROUP BY 1) l ON c.class = l.class")
 def related_docs(spark, sf_dir):
-    tags = F.transform(F.split("p_name", " "), lambda x: F.concat("p_brand", "p_type", F.col("p_size").cast("string"), x))
-    return R.related(table(spark, sf_dir, "part").withColumn("tags", tags), "p_partkey", "tags")
+    return R.related(part_docs(spark, sf_dir).docs.withColumnRenamed("doc_index", "p_partkey"), "p_partkey", "tags")
+
+
+@query(f"{PAIRS} SELECT class, other, CAST(shared AS BIGINT) AS shared, members FROM p")
+def related_classes(spark, sf_dir):
+    return R.related_classes(part_docs(spark, sf_dir).docs, "doc_index", "tags")
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
@@ -439,8 +455,21 @@ def sitemap(spark, sf_dir):
 s AS (SELECT doc_id, len(list_filter(ws, lambda x: x IN ('title', '17', 'from', 'which'))) + CASE WHEN contains(lower(title), 'title 17 from which') THEN 1 ELSE 0 END AS score FROM w)
 SELECT doc_id, CAST(score AS INT) AS score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 8""")
 def search_topk(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", lit_lines("Title ", F.col("doc_id").cast("string")).alias("title"), T.tokenize(F.col("text")).alias("words"))
-    return R.search(d, "Title 17 from which", key="doc_id").select("doc_id", "score")
+    d = table(spark, sf_dir, "documents").select("doc_id", lit_lines("Title ", F.col("doc_id").cast("string")).alias("title"), "text")
+    return R.search_texts(d, "Title 17 from which", key="doc_id").select("doc_id", "score")
+
+
+ASKED = "title ing oned and which edre"
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({STOP}))) AS ws FROM documents),
+s AS (SELECT doc_id, CAST(len(list_filter(ws, lambda x: x IN ('title', 'ing', 'oned', 'which', 'edre'))) AS INT) AS score FROM w)
+SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+def search_inverted(spark, sf_dir):
+    """An inverted index, written sorted by word; the search reads the asked words' rows alone."""
+    path = f"{shared_folder(spark)}/vellum-postings-{uuid.uuid4().hex}"
+    R.inverted_index(table(spark, sf_dir, "documents"), "doc_id").repartitionByRange("word").sortWithinPartitions("word").write.parquet(path)
+    return R.search_postings(spark.read.parquet(path), ASKED, "doc_id", 20)
 
 
 @query(f"""SELECT page_id, count(DISTINCT w) AS words FROM (SELECT page_id, unnest(regexp_split_to_array(lower(url || ' ' || regexp_replace(html, '<[^>]*>', ' ', 'g')), '[^a-z0-9]+')) AS w FROM pages) WHERE length(w) > 1 AND w NOT IN ({STOP}) GROUP BY 1""")
@@ -548,10 +577,10 @@ def retry_schedule(spark, sf_dir):
     return e.select("seq", F.col("attempt").cast("long").alias("attempt"), bus.due_ms(F.col("attempt")).alias("due_ms"))
 
 
-@query("SELECT event_id AS seq FROM (SELECT event_id, props, lag(props) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events) WHERE props IS DISTINCT FROM b")
+@query("SELECT event_id AS seq FROM (SELECT event_id, props, lag(props, 1, props) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events) WHERE props IS DISTINCT FROM b")
 def fresh_messages(spark, sf_dir):
-    sent = spark.createDataFrame([], "name string, last_hash long")
-    return bus.fresh(messages(spark, sf_dir), sent).select("seq")
+    first = messages(spark, sf_dir).groupBy("name").agg(F.min_by("data_json", "seq").alias("d"))
+    return bus.fresh(messages(spark, sf_dir), first.select("name", F.xxhash64("d").alias("last_hash"))).select("seq")
 
 
 @query(f"SELECT 2 * seq AS seq FROM ({DELIVERED}) WHERE status = 'done'")
@@ -567,8 +596,7 @@ def drain_stream(spark, sf_dir):
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet")
     events = source.parquet(f"{sf_dir}/events*")
     m = events.select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), (F.col("user_id") % 7).cast("int").alias("fail_times"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-")
-    folder = f"{base.rstrip('/')}/vellum-drain-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/vellum-drain-{uuid.uuid4().hex}"
     bus.run_drain(m, f"{folder}/out", f"{folder}/state")
     return spark.read.schema("name string, index long, seq long, attempts int, status string").parquet(f"{folder}/out")
 
@@ -611,3 +639,6 @@ def markup_html(spark, sf_dir):
 @query("SELECT s_suppkey AS doc_index, 'IntroHello ' || s_name || ' see Other Page and #tag.Part ' || CAST(s_nationkey AS VARCHAR) || ' open done moreIntro= no heading' || chr(10) || 'ab12' AS text FROM supplier")
 def markup_text(spark, sf_dir):
     return markup.text_of(markup.nodes(markup_docs(spark, sf_dir)))
+
+
+from . import language_queries  # noqa: E402, F401 - registers the queries of pages, code, markup and directories

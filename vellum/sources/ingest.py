@@ -24,15 +24,19 @@ MATTER = r"^\s*?(?:^|(?<=\n))[ \t]*\+\+\+[ \t]*\n(?:([\s\S]*?)\n)??\+\+\+[ \t]*(
 MAYBE_DATA = r"(?m)^ {0,3}(?:`{3,}|~{3,})[ \t]*data[ \t]*$"
 
 
+def chunks_of(text: Column) -> Column:
+    """The chunks of a source: cut at bare `---` lines, blank ones left out; one empty chunk if none is left."""
+    # the separator takes the line end before it and the one after it along
+    cut = F.split(F.coalesce(text, F.lit("")), r"(?:(?<=\n)|^)---[ \t]*(?:\n|$)|\n---[ \t]*(?:\n|$)")
+    chunks = F.filter(cut, lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")) != "")
+    return F.when(F.size(chunks) == 0, F.array(F.lit(""))).otherwise(F.transform(chunks, lambda c: F.regexp_replace(c, r"\n$", "")))
+
+
 def split_documents(sources: DataFrame, text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
     """keys, chunk_no, chunk: each source cut at bare `---` lines, blank chunks left out; a source with
     nothing left is one empty document. Lines' own ends are kept, those at a cut are not."""
     keys = [c for c in sources.columns if c != text_col] if keys is None else keys
-    # the separator takes the line end before it and the one after it along
-    cut = F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?:(?<=\n)|^)---[ \t]*(?:\n|$)|\n---[ \t]*(?:\n|$)")
-    chunks = F.filter(cut, lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")) != "")
-    filled = F.when(F.size(chunks) == 0, F.array(F.lit(""))).otherwise(F.transform(chunks, lambda c: F.regexp_replace(c, r"\n$", "")))
-    return sources.select(*keys, F.posexplode(filled).alias("chunk_no", "chunk"))
+    return sources.select(*keys, F.posexplode(chunks_of(F.col(text_col))).alias("chunk_no", "chunk"))
 
 
 def front_matter(chunk: Column) -> Column:
@@ -108,29 +112,52 @@ def _with_yaml(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], ["k", "data_json", "content"])
 
 
-def coarse(key: Column, kind: str) -> Column:
-    """A coarser key in the same order: ranges of 65536 numbers, or the first 16 letters."""
-    return F.floor(key / 65536) if kind in ("bigint", "int", "smallint", "tinyint") else F.substring(key.cast("string"), 1, 16)
+#: Sources in one range on average, ranges at most, and keys of the sample that they are cut by.
+RANGE, RANGES, SAMPLE = 100_000, 4096, 40_000
+
+
+def range_of(rows: DataFrame, key: str) -> Column | None:
+    """The number of the range that a row's key falls into, nulls first; None if one range holds all. Bounds are quantiles of the
+    SAMPLE keys with the smallest hashes, whatever their type: at most RANGES numbers or texts."""
+    count = rows.count()
+    ranges = min(RANGES, count // RANGE + 1)
+    if ranges < 2:
+        return None
+    sample = rows.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key)).limit(SAMPLE)
+    values = [r[0] for r in sample.orderBy(key).collect()]
+    bounds = sorted({values[len(values) * i // ranges] for i in range(1, ranges)}) if values else []
+    if not bounds:
+        return None
+    known, steps = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{dict(rows.dtypes)[key]}>"), len(bounds).bit_length()
+
+    def narrow(lo: Column, k: Column) -> Column:
+        mid = lo + F.call_function("shiftright", F.lit(1 << steps), k)
+        return F.when((mid <= len(bounds)) & (F.get(known, mid - 1) <= F.col(key)), mid).otherwise(lo)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), narrow)
 
 
 def parse_documents(sources: DataFrame, order_by: list[str], set_id: str = "") -> DataFrame:
     """The documents table of sources(text, meta_json [JSON mapping or null], and the order columns).
 
-    doc_index numbers documents by the order columns and their place in the source, from 0. It is a
-    prefix sum in two levels - inside coarse ranges of the first order column, then over the ranges'
-    totals - so no task sees all sources. A document that cannot be read fails the query, named by its number.
+    doc_index numbers documents by the order columns and their place in the source, from 0; sources
+    that are equal in those are told apart by their text and meta, and equal rows are numbered each.
+    It is a prefix sum in two levels - inside ranges of the first order column, cut by quantiles, then
+    over the ranges' totals - so no task sees all sources unless they share one key. A document that
+    cannot be read fails the query, named by its number.
     """
-    base = sources.withColumn("_src", F.xxhash64(*order_by)) if "source_id" not in sources.columns else sources.withColumn("_src", F.col("source_id"))
-    chunks = split_documents(base.select("_src", *order_by, "text", "meta_json"), keys=["_src", *[c for c in order_by if c != "_src"], "meta_json"])
-    sizes = chunks.groupBy("_src", *order_by).agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("range", coarse(F.col(order_by[0]), dict(sizes.dtypes)[order_by[0]]))
+    src = F.col("source_id").cast("long") if "source_id" in sources.columns else F.xxhash64(*order_by)
+    rows = sources.select(src.alias("_src"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)], "text", "meta_json")
+    order = [f"_o{i}" for i in range(len(order_by))]
+    place = range_of(rows, "_o0")
+    rows = rows.withColumns({"_chunks": chunks_of(F.col("text")), "_range": F.lit(0) if place is None else place}).withColumn("_size", F.size("_chunks"))
     before = (W.unboundedPreceding, -1)
-    ranges = sizes.groupBy("range").agg(F.sum("n").alias("total"))
-    ranges = ranges.select(F.col("range").alias("_range"), F.coalesce(F.sum("total").over(W.orderBy("range").rowsBetween(*before)), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy(*order_by).rowsBetween(*before)), F.lit(0))
-    first = sizes.select(F.col("_src").alias("_s"), "range", inside.alias("inside")).join(ranges, F.col("range") == F.col("_range")).select("_s", (F.col("base") + F.col("inside")).alias("first"))
-    placed = chunks.join(first, F.col("_src") == F.col("_s")).withColumn("doc_index", F.col("first") + F.col("chunk_no"))
-    return with_data(placed.select("doc_index", F.col("_src").alias("source_id"), "chunk_no", "chunk", "meta_json"), set_id)
+    totals = rows.groupBy("_range").agg(F.sum("_size").alias("total"))  # one row a range
+    totals = totals.select(F.col("_range").alias("_r"), F.coalesce(F.sum("total").over(W.orderBy("_range").rowsBetween(*before)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_size").over(W.partitionBy("_range").orderBy(*order, F.xxhash64("text", "meta_json")).rowsBetween(*before)), F.lit(0))
+    placed = rows.withColumn("_inside", inside).drop("text").join(F.broadcast(totals), F.col("_range") == F.col("_r"))
+    chunks = placed.select("_src", "meta_json", (F.col("_base") + F.col("_inside")).alias("_first"), F.posexplode("_chunks").alias("chunk_no", "chunk"))
+    return with_data(chunks.select((F.col("_first") + F.col("chunk_no")).alias("doc_index"), F.col("_src").alias("source_id"), "chunk_no", "chunk", "meta_json"), set_id)
 
 
 def with_data(chunks: DataFrame, set_id: str = "") -> DataFrame:

@@ -6,15 +6,19 @@ from __future__ import annotations
 import json
 import math
 import re
+from functools import lru_cache
 
 try:
     import yaml
 except ModuleNotFoundError:  # documents with data then raise when they are read
     yaml = None
 
+#: Longest text that is remembered.
+MEMO_TEXT = 4096
+
 if yaml is not None:
 
-    class Core(yaml.SafeLoader):
+    class Core(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         yaml_implicit_resolvers: dict = {}
 
     for _tag, _pattern, _first in (
@@ -64,11 +68,16 @@ def to_json(text: str) -> str:
     return json.dumps(_plain(load(text)), ensure_ascii=False)
 
 
+@lru_cache(maxsize=4096)
+def _mapping_json(text: str) -> str | None:
+    """The JSON of a text's mapping, null for none, None for anything else; equal texts are read once."""
+    value = load(text)
+    return json.dumps(None if value is None else _plain(value), ensure_ascii=False) if value is None or isinstance(value, dict) else None
+
+
 def mapping(text: str, what: str) -> dict:
     """The mapping a YAML text holds; empty text is an empty one, anything else an error."""
-    value = load(text)
-    if value is None:
-        return {}
-    if not isinstance(value, dict):
+    found = _mapping_json(text) if len(text) <= MEMO_TEXT else _mapping_json.__wrapped__(text)
+    if found is None:
         raise ValueError(f"{what} must be a mapping")
-    return _plain(value)
+    return json.loads(found) or {}
