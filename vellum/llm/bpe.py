@@ -31,7 +31,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces in one generation of the memo, bytes of a pre-token merged at once, characters of a text split at once, bytes of text in one output batch.
-MEMO, WINDOW, CHUNK, OUT_BYTES = 150_000, 1024, 1 << 18, 8 << 20
+MEMO, WINDOW, CHUNK, OUT_BYTES = 150_000, 1024, 1 << 18, 4 << 20
 #: Fixed value: white space as Python's and RE2's patterns can both name it.
 BLANK = r"[ \t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space with no non-space beside it.
@@ -102,7 +102,7 @@ class ByteBpe:
         self.split = regex.compile(PRE_TOKEN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.inner = Memo(lambda piece: self.packed(" " + piece))
-        self.whole = Memo(self.packed)
+        self.whole = Memo(self.packed, MEMO // 8)
         self.gap = re.compile(r"\s (?:\s|\Z)")
 
     def merged(self, raw: bytes) -> list[int]:
