@@ -142,7 +142,10 @@ class Pages:
         for name in natives or {}:
             if not re.fullmatch(r"[A-Za-z_$][\w$]*", name):
                 raise ValueError(f"{name!r} is no name for a function")
-        self.docs, self.natives, self.load, self.packages = docs, natives or {}, load, packages or {}
+        # a page asks its set again and again: it is kept on the executors, and worked out anew where one is lost
+        self.docs = DocSet(docs.docs.persist(), docs.on_query)
+        self.docs.hot = docs.hot
+        self.natives, self.load, self.packages = natives or {}, load, packages or {}
         self.on_query, self.on_emit, self.on_publish = on_query, on_emit, on_publish
         self.outputs: dict[str, str] = {}
         self.messages: list[dict] = []
@@ -216,9 +219,10 @@ class Pages:
         return f"\ue000{i}\ue001"
 
     def release(self) -> None:
-        """Lets go of parked trees and of records that were read."""
+        """Lets go of parked trees, of records that were read, and of the kept set."""
         self.held.clear()
         self._bodies.clear()
+        self.docs.docs.unpersist()
 
     def built(self, x) -> dict:
         """The tree of a hand-built node of code: {type, tagName, properties, children, value}."""
