@@ -1,13 +1,16 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
-Passages (a document's lines, its paragraphs and the whole text) and templates are normalised to
-lower-case words without marks, numbers kept. A passage is compared with a template only if their
-bigram counts allow the wanted coefficient, and only through bigrams they share: passages' bigrams
-are hash-joined with an index of the templates', never with the templates as such.
+Passages are a document's lines, its paragraphs - taken one by one and in runs, comment marks at the
+beginning of lines left out - and the whole text. Passages and templates are normalised to lower-case
+words without marks, numbers kept. A text is read in full only if it holds an anchor word: so many of a
+template's bigrams have one that no passage without one can reach the wanted coefficient. A passage is
+compared with a template only if their bigram counts allow it, and only through bigrams they share:
+passages' bigrams are hash-joined with an index of the templates', never with the templates as such.
 """
 
 from __future__ import annotations
 
+import re
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,12 @@ from ._common import let, with_found
 
 #: The Dice coefficient from which a passage is a template's.
 DICE = 0.8
+#: Paragraphs in a run at most.
+RUN = 6
+#: What begins a line of a comment, and is no part of its text.
+COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--|<!--|%+|>+)?[ \t]*"
+#: Words that every text has; other words make better anchors.
+COMMON = "a an and any are as at be by for from if in into is it its may no not of on or such that the their then there these this to under use was will with you".split()
 #: Bigrams of all templates together that may be broadcast (the default set has under 2000).
 BROADCAST_BIGRAMS = 1_000_000
 
@@ -30,6 +39,11 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
@@ -55,6 +69,42 @@ def bigrams(normal: Column) -> Column:
     return F.when(normal == "", F.array().cast("array<string>")).otherwise(let(F.split(normal, " "), all_of))
 
 
+def passages(text: Column) -> Column:
+    """array of a text's lines, runs of up to RUN of its paragraphs, and itself."""
+    bare = F.split(F.regexp_replace(text, "(?d)" + COMMENT, ""), r"\n(?:[ \t\r]*\n)+")
+
+    def runs(paragraphs: Column) -> Column:
+        n = F.size(paragraphs)
+        starts = F.sequence(F.lit(1), n)
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), n - i + 1)), lambda k: F.array_join(F.slice(paragraphs, i, k), "\n"))))
+
+    return F.array_distinct(F.concat(F.split(text, "\n"), let(bare, runs), F.array(text)))
+
+
+def anchors(templates: dict[str, str], dice: float) -> list[str] | None:
+    """Words of which every passage within reach of a template has one: such a passage holds the share
+    dice / (2 - dice) of the template's bigrams, and more of them than may be missing have an anchor.
+    None if a template has too few words for that."""
+    found = set()
+    for body in templates.values():
+        words = re.sub("[^a-z0-9]+", " ", body.lower()).split()
+        if len(words) < 2:
+            found |= set(words)
+            continue
+        pairs = set(zip(words, words[1:]))
+        spare = len(pairs) - ceil(len(pairs) * dice / (2 - dice) - 1e-9)
+        held, own = set(), set()
+        for w in sorted(set(words), key=lambda w: (w in COMMON, -len(w), w)):
+            if len(held) > spare:
+                break
+            own.add(w)
+            held |= {p for p in pairs if w in p}
+        if len(held) <= spare:
+            return None
+        found |= own
+    return sorted(found)
+
+
 def template_index(spark: SparkSession, templates: dict[str, str], dice: float) -> DataFrame:
     """(bigram, license, size, least, most): each template's bigrams, its size, and the sizes a passage may have."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, body string")
@@ -77,10 +127,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, dice:
     longest = floor((2 - dice) / dice * 2 * max(words, default=0)) + 2
     shortest = max(1, ceil(dice / (2 - dice) * 1))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n")
-    # a passage of over `longest` bigrams has over that many bytes; repeated pairs may make more words, so only short texts are tried whole
-    passages = F.array_distinct(F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array().cast("array<string>")), F.array(text)))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.filter(F.transform(passages, normalised), lambda p: p != "")).alias("at", "normal"))
+    words_in = anchors(templates, dice)
+    able = docs if words_in is None else docs.where(F.exists(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w.isin(words_in))) if words_in else docs.limit(0)
+    base = able.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.array_distinct(F.filter(F.transform(passages(text), normalised), lambda p: p != ""))).alias("at", "normal"))
     sized = base.select("doc_id", "at", bigrams(F.col("normal")).alias("b")).withColumn("n", F.size("b")).where(F.col("n").between(shortest, longest))
     kept = sized.select("doc_id", "at", "n", F.explode("b").alias("pair")).where("doc_id is not null")
     right = F.broadcast(index) if sum(words) <= BROADCAST_BIGRAMS else index

@@ -11,7 +11,7 @@ from . import language, toxicity
 from .bpe import encode_documents
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
-from .licenses import TEMPLATES, license_scan
+from .licenses import COMMENT, RUN, TEMPLATES, license_scan
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_counts import context_limits, length_histogram
@@ -104,7 +104,8 @@ def license_sql() -> str:
         WITH t(license, body) AS (VALUES {rows}),
         tw AS (SELECT license, {pairs} AS b FROM (SELECT license, string_split({norm.format('body')}, ' ') AS w FROM t)),
         tb AS (SELECT license, len(b) AS size, unnest(b) AS bigram FROM tw),
-        x AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text])) AS passage FROM documents WHERE text IS NOT NULL),
+        o AS (SELECT doc_id, text, regexp_split_to_array(regexp_replace(text, '{COMMENT}', '', 'g'), '\\n(?:[ \\t\\r]*\\n)+') AS ps FROM documents WHERE text IS NOT NULL),
+        x AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), flatten(list_transform(range(1, len(ps) + 1), lambda i: list_transform(range(1, least({RUN}, len(ps) - i + 1) + 1), lambda k: array_to_string(list_slice(ps, i, i + k - 1), chr(10))))), [text])) AS passage FROM o),
         p AS (SELECT *, row_number() OVER () AS num FROM (SELECT DISTINCT doc_id, {norm.format('passage')} AS n FROM x) WHERE n <> ''),
         pw AS (SELECT doc_id, num, {pairs} AS b FROM (SELECT doc_id, num, string_split(n, ' ') AS w FROM p)),
         pb AS (SELECT doc_id, num, len(b) AS n, unnest(b) AS bigram FROM pw),
