@@ -85,3 +85,12 @@ def test_files_of_odd_ids(spark, size):
     got = token_files.read_token_files(manifest).orderBy("start").collect()
     assert [tuple(r) for r in got] == want
     assert token_files.read_token_files(manifest).agg(F.sum("n_tokens")).first()[0] == start
+
+
+def test_merging_together_equals_merging_alone():
+    ours, rnd = bpe.ByteBpe(tokenizer_path("byte_bpe_50k.json")), random.Random(6)
+    raws = [b""] + ["".join(rnd.choice(" aeinorstthéß日xyz0123,.") for _ in range(rnd.randint(1, 40))).encode()[: bpe.SHORT] for _ in range(4000)]
+    got = ours.merged_all(raws)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ours.merged(r) for r in raws]
+    table = ours.pairs(np.array([*list(ours.merge)[:500], -5, 7], np.int64))
+    assert table[:500].tolist() == list(ours.merge.values())[:500] and table[500] == bpe.NO_MERGE

@@ -32,6 +32,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces in one generation of the memo, bytes of a pre-token merged at once, characters of a text split at once, bytes of text in one output batch.
 MEMO, WINDOW, CHUNK, OUT_BYTES = 150_000, 1024, 1 << 18, 4 << 20
+#: Stands for a pair that does not merge; bytes of a pre-token that is merged together with others.
+NO_MERGE, SHORT = 1 << 62, 48
 #: Fixed value: white space as Python's and RE2's patterns can both name it.
 BLANK = r"[ \t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space with no non-space beside it.
@@ -58,6 +60,41 @@ class Memo(dict):
         return value
 
 
+    def put(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= 64:
+            self[key] = value
+
+
+class PairTable:
+    """A map from pairs of ids to ranks and joined ids that whole arrays are looked up in. Levels of
+    open tables, each with a hash of its own: what collides in one goes to the next."""
+
+    def __init__(self, merge: dict[int, int], bits: int = 19):
+        self.levels, self.shift = [], np.uint64(64 - bits)
+        keys, values = np.array(list(merge), np.int64), np.array(list(merge.values()), np.int64)
+        rnd = np.random.default_rng(7)
+        while len(keys):
+            odd = np.uint64(rnd.integers(1 << 62) * 2 + 1)
+            slot = (keys.view(np.uint64) * odd) >> self.shift
+            table, held = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_MERGE, np.int64)
+            table[slot] = keys  # of keys that share a slot one stays
+            placed = table[slot] == keys
+            held[slot[placed]] = values[placed]
+            self.levels.append((odd, table, held))
+            keys, values = keys[~placed], values[~placed]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(keys.shape, NO_MERGE, np.int64)
+        for odd, table, held in self.levels:
+            slot = (keys.view(np.uint64) * odd) >> self.shift
+            found = table[slot] == keys
+            out[found] = held[slot[found]]
+        return out
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in vocabulary files: itself if printable, else the next from U+0100."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -97,6 +134,7 @@ class ByteBpe:
                 raise ValueError("the merge list is not proper: a rule comes before what it joins")
             made.add(ab)
             self.merge.setdefault(a << self.shift | b, rank << self.shift | ab)
+        self.pairs, self.firsts = PairTable(self.merge), np.array(self.first, np.int64)
         self.lookahead = sufficient_lookahead(self.rules, {i: len(t) for i, t in self.text_of.items()})
         self.window = max(window, 2 * self.lookahead)
         self.split = regex.compile(PRE_TOKEN).findall
@@ -123,6 +161,84 @@ class ByteBpe:
                 ranks[i] = get(new << shift | ids[i + 1], none)
         return ids
 
+    def merged_all(self, raws: list[bytes]) -> list[bytes]:
+        """Packed ids of short pre-tokens, all at once: in each turn every one of them that still can
+        makes its lowest-ranked, leftmost merge."""
+        out: list[bytes] = [b""] * len(raws)
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        for lo, hi in ((1, 6), (7, 12), (13, 24), (25, SHORT)):
+            rows = np.flatnonzero((sizes >= lo) & (sizes <= hi))
+            if not len(rows):
+                continue
+            n, width = sizes[rows], int(sizes[rows].max())
+            col = np.arange(width + 1)
+            ids = np.full((len(rows), width + 1), -1, np.int64)
+            ids[col < n[:, None]] = self.firsts[np.frombuffer(b"".join([raws[i] for i in rows.tolist()]), np.uint8)]
+            ranks = np.full((len(rows), width + 1), NO_MERGE, np.int64)
+            inside = (col + 1) < n[:, None]
+            ranks[inside] = self.pairs((ids[:, :-1] << self.shift | ids[:, 1:])[inside[:, :-1]])
+            while True:
+                at = ranks.argmin(axis=1)
+                each = np.arange(len(rows))
+                best = ranks[each, at]
+                done = best == NO_MERGE
+                if done.any():
+                    final, size = ids[done].astype("<u4"), n[done].tolist()
+                    for i, row, k in zip(rows[done].tolist(), final, size):
+                        out[i] = row[:k].tobytes()
+                    if done.all():
+                        break
+                    ids, ranks, n, rows, at, best = ids[~done], ranks[~done], n[~done], rows[~done], at[~done], best[~done]
+                    each = np.arange(len(rows))
+                    width = int(n.max())
+                    ids, ranks, col = ids[:, : width + 1], ranks[:, : width + 1], col[: width + 1]
+                after = col[:-1] > at[:, None]
+                ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
+                ranks[:, :-1] = np.where(after, ranks[:, 1:], ranks[:, :-1])
+                new = best & self.low
+                ids[each, at] = new
+                n = n - 1
+                ends = at + 1 < n
+                right = np.full(len(rows), NO_MERGE, np.int64)
+                right[ends] = self.pairs(new[ends] << self.shift | ids[each[ends], at[ends] + 1])
+                ranks[each, at] = right
+                begins = at > 0
+                ranks[each[begins], at[begins] - 1] = self.pairs(ids[each[begins], at[begins] - 1] << self.shift | new[begins])
+        return out
+
+    def learn(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Packed ids of pieces, their short pre-tokens merged all at once."""
+        tokens: list[str] = []
+        many = []
+        for p in pieces:
+            found = self.split(lead + p)
+            many.append(len(found))
+            tokens += found
+        coded = pa.array(tokens, pa.string()).dictionary_encode()
+        raws = [t.encode() for t in coded.dictionary.to_pylist()]
+        packed = self.merged_all([t if len(t) <= SHORT else b"" for t in raws])
+        for i, t in enumerate(raws):
+            if len(t) > SHORT:
+                packed[i] = array("I", self.merged(t) if len(t) <= self.window else self.stream([t])).tobytes()
+        ends = np.cumsum(many)
+        ids, sizes = gather(packed, coded.indices.to_numpy(), np.array(ends - many)) if len(tokens) else (np.empty(0, "<u4"), np.zeros(len(pieces), np.int64))
+        raw, cut = ids.tobytes(), [0, *(np.cumsum(sizes) * 4).tolist()]
+        return [raw[x:y] for x, y in zip(cut, cut[1:])]
+
+    def known(self, memo: Memo, pieces: list[str], lead: str) -> list[bytes]:
+        """Packed ids of a batch's distinct pieces."""
+        out, old = list(map(memo.get, pieces)), memo.old
+        gaps = [i for i, x in enumerate(out) if x is None]
+        for i in gaps:
+            if (ids := old.get(pieces[i])) is not None:
+                out[i] = ids
+                memo.put(pieces[i], ids)
+        gaps = [i for i in gaps if out[i] is None and (lead or pieces[i])]
+        for i, ids in zip(gaps, self.learn([pieces[i] for i in gaps], lead)):
+            out[i] = ids
+            memo.put(pieces[i], ids)
+        return [b"" if x is None else x for x in out]
+
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one pre-token that comes in parts, each as soon as no further input can
         change it. Holds window bytes besides a part."""
@@ -191,7 +307,7 @@ class ByteBpe:
         later = np.ones(len(values), bool)
         later[first] = False
         inner, whole = values.filter(pa.array(later)).dictionary_encode(), values.take(pa.array(first)).dictionary_encode()
-        packed = [*map(self.inner.__getitem__, inner.dictionary.to_pylist()), *map(self.whole.__getitem__, whole.dictionary.to_pylist())]
+        packed = self.known(self.inner, inner.dictionary.to_pylist(), " ") + self.known(self.whole, whole.dictionary.to_pylist(), "")
         at = np.empty(len(values), np.int32)
         at[later] = inner.indices.to_numpy()
         at[first] = whole.indices.to_numpy() + len(inner.dictionary)
