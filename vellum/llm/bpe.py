@@ -31,7 +31,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces in one generation of the memo, bytes of a pre-token merged at once, characters of a text split at once, bytes of text in one output batch.
-MEMO, WINDOW, CHUNK, OUT_BYTES = 150_000, 1024, 1 << 18, 4 << 20
+MEMO, WINDOW, CHUNK, OUT_BYTES = 60_000, 1024, 1 << 18, 2 << 20
 #: Stands for a pair that does not merge; bytes of a pre-token that is merged together with others.
 NO_MERGE, SHORT = 1 << 62, 48
 #: Fixed value: white space as Python's and RE2's patterns can both name it.
