@@ -395,14 +395,14 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def in_small_batches(batches: Iterable[pa.RecordBatch], text_at: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about OUT_BYTES of text each."""
+def in_small_batches(batches: Iterable[pa.RecordBatch], text_at: int = 1, size: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `size` bytes of text each."""
     for batch in batches:
         sizes = np.cumsum(pa.compute.binary_length(batch.column(text_at)).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, base + OUT_BYTES)))
+            to = max(at + 1, int(np.searchsorted(sizes, base + size)))
             yield batch.slice(at, to - at)
             at = to
 

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import ids_and_texts, materialize, scratch
-from .bpe import OUT_BYTES, Memo, byte_letters, gather, in_small_batches
+from .bpe import Memo, byte_letters, gather, in_small_batches
 
 #: Bytes of ids in one part, and writing tasks at most.
 PART_BYTES, TASKS = 32 << 20, 10_000
@@ -38,6 +38,8 @@ PART_BYTES, TASKS = 32 << 20, 10_000
 CELLS, LEVELS = 1 << 16, 4
 #: Words in one generation of the memo: a word that is worked out anew costs ten times as much here as in `bpe`.
 WORDS = 300_000
+#: Bytes of text in one batch of the encoder.
+OUT_BYTES = 8 << 20
 #: Documents in one output batch of the reader.
 READ_DOCS = 4096
 
@@ -185,7 +187,7 @@ def _encoder(tokenizer: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer)
         size = np.dtype(dtype).itemsize
-        for batch in in_small_batches(batches):
+        for batch in in_small_batches(batches, 1, OUT_BYTES):
             ids, n = encoder.encode_all(batch.column(1), end_id)
             ends = np.concatenate([[0], np.cumsum(n) * size]).astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype(dtype).tobytes())])
