@@ -1,6 +1,7 @@
 """Behaviour of the engine that tables do not show: grammar, precedence, errors, order."""
 
 import json
+import random
 import struct
 import zlib
 
@@ -13,7 +14,7 @@ from vellum.operators import relational as R
 from vellum.operators.docset import DocSet
 from vellum.operators.filters import FilterError
 from vellum.plans import markup, site, template
-from vellum.sources import files, yaml12
+from vellum.sources import files, ingest, yaml12
 from vellum.sources.ingest import split_documents, take_data_fences
 from vellum.streaming import bus
 
@@ -176,6 +177,41 @@ def test_heading_ids_skip_taken_names(spark):
     assert [r.id for r in R.heading_ids(rows, "doc", "pos", "slug").orderBy("pos").collect()] == ["a", "a-1", "a-2", "a-3", None, "b"]
 
 
+def looped_heading_ids(slugs):
+    used, number, ids = set(), {}, []
+    for s in slugs:
+        n = number.get(s, 0)
+        while (name := f"{s}-{n}" if n else s) in used:
+            n += 1
+        number[s] = n
+        used.add(name if s else None)
+        ids.append(name if s else None)
+    return ids
+
+
+@pytest.mark.parametrize("one_range", [True, False])
+def test_heading_ids_are_those_of_a_loop_over_each_document(spark, monkeypatch, one_range):
+    if not one_range:
+        monkeypatch.setattr(ingest, "RANGE", 50)
+    rng, names, rows = random.Random(3), ["a", "a-1", "a-2", "a-3", "a-1-1", "a-1-2", "a-1-1-1", "a-2-1", "a-01", "a-0", "-1", "b-7", "b", "", "c", "a-999999999999999999999"], []
+    for d in [None, *map(str, range(30))]:
+        few = rng.sample(names, rng.randrange(1, len(names)))
+        rows += [(d, i, rng.choice(few)) for i in range(rng.randrange(1, 40))]
+    want = {}
+    for d in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == d]
+        want |= dict(zip([r[:2] for r in own], looped_heading_ids([r[2] for r in own])))
+    got = R.heading_ids(spark.createDataFrame(rng.sample(rows, len(rows)), "doc string, pos int, slug string"), "doc", "pos", "slug").collect()
+    assert len(got) == len(rows) and {(r.doc, r.pos): r.id for r in got} == want
+
+
+def test_heading_ids_of_one_long_document(spark):
+    slug = F.when(F.col("id") % 1000 == 7, F.concat(F.lit("a-"), F.col("id").cast("string"))).otherwise("a")
+    got = R.heading_ids(spark.range(60_000).select(F.lit("d").alias("doc"), F.col("id").alias("pos"), slug.alias("slug")), "doc", "pos", "slug")
+    rows = sorted((r.pos, r.slug, r.id) for r in got.collect())
+    assert [r[2] for r in rows] == looped_heading_ids([r[1] for r in rows])
+
+
 def html_of(text):
     names = [n for n, _ in markup.NODE_FIELDS]
     return markup.write_html([dict(zip(names, r)) | {"props": list(r[6].items())} for r in markup.parse(text)])

@@ -7,9 +7,12 @@ the ranges, so a key that holds most rows is no single task's work.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,22 +149,71 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, version: str) -
     return b.join(a, F.col("bk") == F.col("ak"), "full_outer").select(F.coalesce("ak", "bk").alias(key), change.alias("change")).where("change is not null")
 
 
+#: A slug that another, its parent, makes when it is numbered.
+_NUMBERED = r"(?s)^(.+)-([1-9][0-9]{0,17})$"
+
+
+def _given_away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, family, parent, n, rank), a family's together, parents before their children, by rank: the first use of
+    the slug parent-n comes after `rank` uses of its parent. Out come (doc, slug, rank): from this use of the slug on its
+    number is one more, for the name was taken. Holds the names of a family that were taken before their own first use."""
+    place = parent = None
+    taken, claimed, ahead, found = set(), [], 0, []
+
+    def advance(uses: float) -> None:
+        nonlocal ahead
+        while claimed and claimed[0] - ahead < uses:
+            found.append((place[0], parent, heapq.heappop(claimed) - ahead))
+            ahead += 1
+
+    for batch in batches:
+        for doc, family, slug, n, rank in zip(*(c.to_pylist() for c in batch.columns)):
+            if (doc, family) != place or slug != parent:
+                advance(math.inf)
+                if (doc, family) != place:
+                    place, taken = (doc, family), set()
+                parent, ahead = slug, int(slug in taken)
+            advance(rank)
+            if n < rank + ahead:
+                taken.add(f"{slug}-{n}")
+                found.append((doc, f"{slug}-{n}", 0))
+            else:
+                heapq.heappush(claimed, n)
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((batch.schema.field(0).type, pa.string(), pa.int64()))], ["doc", "slug", "rank"])
+        found = []
+    advance(math.inf)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((batch.schema.field(0).type, pa.string(), pa.int64()))], ["doc", "slug", "rank"])
+
+
 def heading_ids(headings: DataFrame, doc: str, pos: str, slug: str) -> DataFrame:
-    """headings with id: the slug, numbered from the second use on, past ids already taken. The
-    numbering reads a document's headings in order, so each document is one array."""
-    packed = headings.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(slug).alias("s")))).alias("hs"))
-
-    def step(used: Column, h: Column) -> Column:
-        taken = F.transform(used, lambda u: F.coalesce(u["id"], F.lit("")))
-        numbers = F.sequence(F.lit(0), F.size(used))
-        names = F.transform(numbers, lambda n: F.when(n == 0, h["s"]).otherwise(F.concat(h["s"], F.lit("-"), n.cast("string"))))
-        free = F.get(F.filter(names, lambda n: ~F.array_contains(taken, n)), F.lit(0))
-        return F.array_append(used, F.struct(h["p"].alias("p"), F.when(h["s"] != "", free).alias("id")))
-
-    kind = f"array<struct<p:{dict(headings.dtypes)[pos]},id:string>>"
-    done = packed.select(F.col(doc).alias("_d"), F.explode(F.aggregate("hs", F.array().cast(kind), step)).alias("x"))
-    ids = done.select("_d", F.col("x.p").alias("_p"), F.col("x.id").alias("id"))
-    return headings.join(ids, (headings[doc] == ids["_d"]) & (headings[pos] == ids["_p"]), "left").drop("_d", "_p")
+    """headings with id: the slug, numbered from the second use on, past ids already taken; null for
+    an empty slug. Only a slug and the same with a number behind it can want one id, so uses are
+    counted per slug by prefix sums, and just the first uses of slugs such as a-1 in documents that
+    have an a are read in order."""
+    named = headings.withColumn("_mine", F.col(slug))
+    firsts = headings.where(F.col(slug).rlike(_NUMBERED)).groupBy(doc, slug).agg(F.min(pos).alias("_first"))
+    part = lambda i: F.regexp_extract(slug, _NUMBERED, i)
+    firsts = firsts.select(F.col(doc).alias(doc), F.col("_first").alias(pos), part(1).alias("_parent"), part(2).cast("long").alias("_n"), F.col(slug).alias("_mine"))
+    known = headings.select(F.col(doc).alias("_d"), F.col(slug).alias("_s")).distinct()
+    firsts = firsts.join(known, firsts[doc].eqNullSafe(F.col("_d")) & (F.col("_parent") == F.col("_s")), "left_semi").withColumnRenamed("_parent", slug)
+    clash = not firsts.isEmpty()
+    if clash:
+        named = named.unionByName(firsts, allowMissingColumns=True)
+        ranked = prefix_sum(named, [doc, slug], [pos, "_mine"], F.when(F.col("_n").isNull(), 1).otherwise(0), "_rank", False)
+        family = F.regexp_extract(slug, r"(?s)^(.+?)(-[1-9][0-9]{0,17})*$", 1)
+        asked = ranked.where("_n is not null").select(F.col(doc).alias("doc"), family.alias("family"), F.col(slug).alias("parent"), F.col("_n").alias("n"), F.col("_rank").cast("long").alias("rank"))
+        asked = asked.repartition("doc", "family").sortWithinPartitions("doc", "family", F.length("parent"), "parent", "rank")
+        steps = asked.mapInArrow(_given_away, f"doc {dict(headings.dtypes)[doc]}, slug string, rank long")
+        steps = steps.select(F.col("doc").alias(doc), F.col("slug").alias(slug), F.col("rank").alias("_rank"), F.lit(1).alias("_step"))
+        uses = ranked.where("_n is null").drop("_n").withColumns({"_rank": F.col("_rank").cast("long"), "_step": F.lit(0)})
+        both = uses.withColumn("_use", F.lit(1)).unionByName(steps.withColumn("_use", F.lit(0)), allowMissingColumns=True)
+        numbered = prefix_sum(both, [doc, slug], ["_rank", "_use"], F.col("_step"), "_skipped").where("_use = 1")
+        number = F.col("_rank") + F.col("_skipped")
+    else:
+        numbered, number = prefix_sum(named, [doc, slug], [pos], F.lit(1), "_rank", False), F.col("_rank")
+    name = F.when(number == 0, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), number.cast("string")))
+    return numbered.select(*[F.col(c) for c in headings.columns], F.when(F.col(slug) != "", name).alias("id"))
 
 
 def search(index: DataFrame, query: str, words: str = "words", title: str = "title", key: str = "url", top: int = 8) -> DataFrame:
