@@ -69,12 +69,11 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among a bucket's fingerprints."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-    root = np.full(len(fps), -1)
+def spanning(near: np.ndarray, reps: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links in near, a square of flags."""
+    root = np.full(len(near), -1)
     edges = []
-    for i in range(len(fps)):
+    for i in range(len(near)):
         if root[i] < 0:
             root[i], front = i, [i]
             while front:
@@ -84,6 +83,11 @@ def _forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, i
     return edges
 
 
+def _forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among a bucket's fingerprints."""
+    return spanning(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, reps)
+
+
 def _links(radius: int):
     """Rows sorted by (pinned, key) as edges (a, b): each bucket's spanning forest. Holds a bucket."""
 
